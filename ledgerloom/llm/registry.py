@@ -1,11 +1,14 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from ledgerloom.llm import bitsliced
+from ledgerloom.llm import bitsliced, decontaminate, packing
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op7_packing": packing.op7_packing,
     "op9_topk": bitsliced.op9_topk,
 }
 
 ORACLE_SQL = {
+    "op2_decontamination": decontaminate.OP2_SQL,
     "op9_topk": bitsliced.OP9_SQL,
 }

@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from ledgerloom.llm import bitsliced, decontaminate, packing
+from ledgerloom.llm import bitsliced, decontaminate, packing, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op7_packing": packing.op7_packing,
     "op9_topk": bitsliced.op9_topk,

@@ -1,15 +1,18 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from ledgerloom.llm import bitsliced, decontaminate, packing, simhash
+from ledgerloom.llm import bitsliced, chat, decontaminate, html, packing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_chat_format": chat.op3_chat_format,
     "op7_packing": packing.op7_packing,
+    "op8_html_text": html.op8_html_text,
     "op9_topk": bitsliced.op9_topk,
 }
 
 ORACLE_SQL = {
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op3_chat_format": chat.OP3_SQL,
     "op9_topk": bitsliced.OP9_SQL,
 }

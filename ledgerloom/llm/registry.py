@@ -1,11 +1,13 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from ledgerloom.llm import bitsliced, chat, decontaminate, html, packing, simhash
+from ledgerloom.llm import bitsliced, chat, decontaminate, html, lm, packing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_lm_score": lm.op4_lm_score,
+    "op5_quality": quality.op5_quality,
     "op7_packing": packing.op7_packing,
     "op8_html_text": html.op8_html_text,
     "op9_topk": bitsliced.op9_topk,

@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from ledgerloom.llm import bitsliced, chat, decontaminate, html, lm, packing, quality, simhash
+from ledgerloom.llm import bitsliced, chat, decontaminate, html, lm, packing, quality, simhash, spans, templates
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -8,9 +8,11 @@ QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_lm_score": lm.op4_lm_score,
     "op5_quality": quality.op5_quality,
+    "op6_line_templates": templates.op6_line_templates,
     "op7_packing": packing.op7_packing,
     "op8_html_text": html.op8_html_text,
     "op9_topk": bitsliced.op9_topk,
+    "op10_sentence_spans": spans.op10_sentence_spans,
 }
 
 ORACLE_SQL = {

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,13 @@ def stash(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of fixed width that a join may send to every executor (at 40 bytes, some 80 MB).
+SMALL_ROWS = 2_000_000
+
+
+def small(stashed: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A stored table of fixed-width rows, marked for broadcast if its count allows it; else as it is, to be joined
+    by a shuffle."""
+    return F.broadcast(stashed) if stashed.count() <= rows else stashed

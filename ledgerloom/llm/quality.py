@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.stash import stash
+from ledgerloom.plans.stash import SMALL_ROWS, stash
 
 #: Shrinkage of a class covariance towards the pooled one, and of that towards the identity's multiple.
 TO_POOLED, TO_IDENTITY = 0.02, 0.01
@@ -157,6 +157,17 @@ def training_rows(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("quality").isin(0, 1) & (fold() != 1)).select("doc_id", F.col("quality").cast("int").alias("y"))
 
 
+def fit_to_labels(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Model:
+    """The model from the documents that have labels to learn from. Few enough labels go to every executor, so that only
+    labelled texts are read closely; else the statistics of all texts meet the labels in a shuffle."""
+    known = stash(training_rows(labels), "labels")
+    if known.count() <= SMALL_ROWS:
+        labelled = with_features(docs.select("doc_id", text_col).join(F.broadcast(known), "doc_id"), ["y"], text_col)
+    else:
+        labelled = with_features(docs, ["doc_id"], text_col).join(known, "doc_id")
+    return fit(labelled)
+
+
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents, in their own columns, whose score is at least the threshold."""
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ledgerloom.plans.stash import stash
 
 #: Bytes of text in a batch, and tokens of the corpus for each bucket of hashes.
-BATCH_BYTES, BUCKET_TOKENS = 24_000_000, 2_000_000
+BATCH_BYTES, BUCKET_TOKENS = 10_000_000, 2_000_000
 #: One training document in so many is deleted from the counts that the weights are learnt with.
 DELETED = 20
 ROUNDS, CLOSE_ENOUGH = 15, 1e-4
@@ -64,52 +64,71 @@ def _unpack(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
+class _Numbers(dict):
+    """Numbers words in the order of their first use, from 2."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 2
+        return n
+
+
 class Batch:
-    """The tokens of some texts as places in their sorted distinct hashes.
+    """The tokens of some texts as hashes: token, pair (with the token before) and before, one text after the other.
 
-    Odd hashes are single tokens, even ones pairs or the place before a text. tokens, pairs and contexts have a place
-    for each token of each text, one text after the other.
+    Odd hashes are single tokens, even ones pairs or the place before a text.
     """
 
     def __init__(self, texts: Iterator[bytes]) -> None:
-        known: dict[bytes, int] = {}
+        known = _Numbers()
         ids, self.sizes = [], []
         for text in texts:
             words = text.lower().split()
-            ids.append(np.fromiter((known.setdefault(w, len(known) + 2) for w in words), np.int64, len(words)))
+            ids += [np.fromiter(map(known.__getitem__, words), np.int32, len(words)), np.array([_END], np.int32)]
             self.sizes.append(len(words) + 1)
         h = np.array([0, 1, *(xxhash.xxh64_intdigest(w, 1) for w in known)], np.uint64)
-        first = [np.array([_START])] * len(ids)
-        last = [np.array([_END])] * len(ids)
-        before = np.concatenate([x for p in zip(first, ids, strict=True) for x in p] or [np.zeros(0, np.int64)])
-        token = np.concatenate([x for p in zip(ids, last, strict=True) for x in p] or [np.zeros(0, np.int64)])
-        single = _mix(h, np.full(len(h), 7, np.uint64)) | _ONE
-        single[_START] &= ~_ONE
-        pair = _mix(h[before], h[token]) & ~_ONE
-        distinct, at = np.unique(pair, return_inverse=True)
-        self.keys = np.unique(np.concatenate((single, distinct)))
-        self.pairs = np.searchsorted(self.keys, distinct)[at]
-        place = np.searchsorted(self.keys, single)
-        self.tokens, self.contexts = place[token], place[before]
+        self.single = _mix(h, np.full(len(h), 7, np.uint64)) | _ONE
+        self.single[_START] &= ~_ONE
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64) if ids else np.zeros(0, np.int64)
+        self.token = np.concatenate(ids or [np.zeros(0, np.int32)])
+        self.before = np.concatenate(([_START], self.token[:-1]))[: len(self.token)]
+        self.before[self.starts] = _START
+        self.pair = _mix(h[self.before], h[self.token]) & ~_ONE
 
-    def counts(self, learn: np.ndarray) -> np.ndarray:
-        """Occurrences of each hash in the texts that learn is true for."""
+    def keys(self) -> np.ndarray:
+        return np.unique(np.concatenate((self.single, self.pair)))
+
+    def counts(self, keys: np.ndarray, learn: np.ndarray) -> np.ndarray:
+        """Occurrences of each of the keys in the texts that learn is true for."""
         which = np.repeat(learn, self.sizes)
-        n = np.bincount(self.tokens[which], minlength=len(self.keys)) + np.bincount(self.pairs[which], minlength=len(self.keys))
-        begins = self.contexts[self.starts[learn]] if learn.any() else np.zeros(0, np.int64)
-        return n + np.bincount(begins, minlength=len(self.keys))
+        n = np.zeros(len(keys), np.int64)
+        pairs, times = np.unique(self.pair[which], return_counts=True)
+        n[np.searchsorted(keys, pairs)] = times
+        singles = np.bincount(self.token[which], minlength=len(self.single))
+        singles[_START] = learn.sum()
+        n[np.searchsorted(keys, self.single)] += singles
+        return n
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the token, the context and the pair of each token stand among the keys."""
+        distinct, at = np.unique(self.pair, return_inverse=True)
+        place = np.searchsorted(keys, self.single)
+        return place[self.token], place[self.before], np.searchsorted(keys, distinct)[at]
 
 
 def _bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def dealt(docs: DataFrame, batches: int) -> DataFrame:
-    """(batch, doc_id, learn, deleted, text binary compressed); which documents learn is the contract's."""
+def dealt(docs: DataFrame, batches: int, deleted: bool = False) -> DataFrame:
+    """(batch, doc_id, learn, deleted, text binary compressed); which documents learn is the contract's. Deleted ones have
+    batches of their own, from number `batches` on; deleted: only these."""
     crc = F.crc32(F.col("doc_id").cast("string"))
     learn = F.coalesce(crc % 7 != 2, F.lit(False))
-    own = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", learn.alias("learn"), (learn & (F.floor(crc / 7) % DELETED == 0)).alias("deleted"), F.col("text"))
+    gone, mark = learn & (F.floor(crc / 7) % DELETED == 0), F.xxhash64("doc_id", "text")
+    batch = F.when(gone, F.lit(batches) + F.pmod(mark, F.lit(-(-batches // DELETED)))).otherwise(F.pmod(mark, F.lit(batches)))
+    own = docs.select(batch.alias("batch"), "doc_id", learn.alias("learn"), gone.alias("deleted"), F.col("text"))
+    if deleted:
+        own = own.where(gone)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -131,12 +150,14 @@ def corpus_counts(rows: DataFrame, bits: int) -> DataFrame:
 
     def give(t: pa.Table) -> pa.Table:
         b = _batch(t)
-        n, less = (b.counts(t.column(c).to_numpy().astype(bool)) for c in ("learn", "deleted"))
-        edges = np.searchsorted(_bucket_of(b.keys, bits), np.arange((1 << bits) + 1))
+        keys = b.keys()
+        n = b.counts(keys, t.column("learn").to_numpy().astype(bool))
+        less = n if t.column("deleted")[0].as_py() else np.zeros_like(n)
+        edges = np.searchsorted(_bucket_of(keys, bits), np.arange((1 << bits) + 1))
         out: list[list] = [[], [], [], [], []]
         for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
             if y > x:
-                for column, value in zip(out, (k, t.column("batch")[0].as_py(), _pack(np.diff(b.keys[x:y], prepend=np.uint64(0)), np.uint64), _pack(n[x:y], np.uint32), _pack(less[x:y], np.uint32)), strict=True):
+                for column, value in zip(out, (k, t.column("batch")[0].as_py(), _pack(np.diff(keys[x:y], prepend=np.uint64(0)), np.uint64), _pack(n[x:y], np.uint32), _pack(less[x:y], np.uint32)), strict=True):
                     column.append(value)
         return pa.table(dict(zip(("bucket", "batch", "keys", "n", "less"), (pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])), strict=True)))
 
@@ -161,26 +182,27 @@ def _joined(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves])
 
 
-def _components(b: Batch, n: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token the bucket of its context, and the estimates with and without context."""
-    context = n[b.contexts]
-    bucket = np.minimum(np.log2(context + 1).astype(np.int64), TOP_BUCKET)
-    return bucket, n[b.pairs] / np.maximum(context, 1), n[b.tokens] / max(total, 1)
+def _components(b: Batch, n: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token the bucket of its context, the estimates with and without context, and its count."""
+    token, context, pair = b.places(b.keys())
+    times = n[context]
+    bucket = np.minimum(np.log2(times + 1).astype(np.int64), TOP_BUCKET)
+    return bucket, n[pair] / np.maximum(times, 1), n[token] / max(total, 1), n[token]
 
 
-def learn_weights(rows: DataFrame, counts: DataFrame, total: int, less: int, distinct: int) -> list[list[float]]:
-    """[pair, single, uniform] for each bucket of the context's frequency."""
+def learn_weights(rows: DataFrame, counts: DataFrame, batches: int, total: int, less: int, distinct: int) -> list[list[float]]:
+    """[pair, single, uniform] for each bucket of the context's frequency, from the rows of the deleted documents."""
 
     def held(t: pa.Table, c: pa.Table) -> pa.Table:
-        b = _batch(t)
-        # the batch's hashes are those of all its documents
+        if not t.num_rows:
+            return pa.table({"b": pa.array([], pa.int32()), "pair": pa.array([], pa.float64()), "single": pa.array([], pa.float64())})
         n, gone = _joined(c)
-        which = np.repeat(t.column("deleted").to_numpy().astype(bool), b.sizes)
-        parts = np.stack([x[which] for x in _components(b, n - gone, total - less)])
-        rows, times = np.unique(parts, axis=1, return_counts=True) if parts.shape[1] else (parts, np.zeros(0, np.int64))
-        return pa.table({"b": pa.array(rows[0].astype(np.int32)), "pair": pa.array(rows[1]), "single": pa.array(rows[2]), "n": pa.array(times.astype(np.int64))})
+        bucket, pair, single, _ = _components(_batch(t), n - gone, total - less)
+        return pa.table({"b": pa.array(bucket.astype(np.int32)), "pair": pa.array(pair), "single": pa.array(single)})
 
-    seen = rows.groupBy("batch").cogroup(counts.select("batch", "bucket", "counts").groupBy("batch")).applyInArrow(held, "b int, pair double, single double, n long")
+    counts = counts.where(F.col("batch") >= batches).select("batch", "bucket", "counts")
+    seen = rows.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(held, "b int, pair double, single double")
+    seen = seen.groupBy("b", "pair", "single").agg(F.count("*").alias("n"))
     seen = stash(seen, "deleted")
     buckets, rest = range(TOP_BUCKET + 1), 1 / (distinct + 1)
     weights = [[1 / 3] * 3 for _ in buckets]
@@ -215,15 +237,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     counts = stash(corpus_counts(rows, bits), "counts")
     sums = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("less").alias("less")).first()
     total, distinct, less = (x or 0 for x in sums)
-    weights = np.array(learn_weights(rows, counts, total, less, distinct))
+    weights = np.array(learn_weights(dealt(own, batches, True), counts, batches, total, less, distinct))
 
     def give(t: pa.Table, c: pa.Table) -> pa.Table:
         b = _batch(t)
         n, _ = _joined(c)
-        bucket, pair, single = _components(b, n, total)
+        bucket, pair, single, seen = _components(b, n, total)
         w = weights[bucket]
         p = np.log10(w[:, 0] * pair + w[:, 1] * single + w[:, 2] / (distinct + 1))
-        seen = n[b.tokens]
         base = np.log10((seen + 1) / (total + distinct + 1))
         add = lambda x: np.add.reduceat(x, b.starts) if len(b.starts) else x
         held = pa.array([x is not None and _crc(x) % 7 == 2 for x in t.column("doc_id").to_pylist()], pa.bool_())

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import out
 from ledgerloom.operators import allocation, amounts, cutoff, ledger, matching
 from ledgerloom.plans import canonical as C
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    """Registers a query under its name, with its SQL."""
-
-    def register(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from ledgerloom.plans.registry import query
 
 _LINES = """
 lines AS (
@@ -49,7 +34,7 @@ booked AS (SELECT business_id, order_line_id, qty, price, discount, tax, gross_l
 layers AS (SELECT *, book_total - total AS total_diff, book_net - net AS net_diff, book_vat - vat AS vat_diff FROM booked)"""
 )
 
-_DATES = """
+DATES_SQL = """
 control AS (SELECT l_orderkey AS business_id, max(CAST(l_shipdate AS DATE)) AS control_date FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
 dates AS (SELECT o_orderkey AS business_id, CAST(o_orderdate AS DATE) AS posting_date, control_date FROM orders LEFT JOIN control ON business_id = o_orderkey)"""
 
@@ -112,7 +97,7 @@ def ambiguous_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cutoff_sql(key: str, crossed: str = "false", more: str = "") -> str:
     return (
-        "WITH" + _DATES + f""", k AS (SELECT *, {key.format(d='control_date')} AS control_period, {key.format(d='posting_date')} AS posting_period, {crossed} AS crossed FROM dates),
+        "WITH" + DATES_SQL + f""", k AS (SELECT *, {key.format(d='control_date')} AS control_period, {key.format(d='posting_date')} AS posting_period, {crossed} AS crossed FROM dates),
 c AS (SELECT *, CAST(datediff('day', control_date, posting_date) AS BIGINT) AS deviation_days,
   CASE WHEN control_date IS NULL OR posting_date IS NULL THEN 'WARNING' WHEN crossed OR control_period <> posting_period THEN 'FAIL' ELSE 'PASS' END AS cutoff_status,
   CASE WHEN control_date IS NULL OR posting_date IS NULL THEN 'MISSING_DATE' WHEN crossed THEN 'PERIOD_END_CROSSED' WHEN control_period = posting_period THEN 'SAME_PERIOD' WHEN posting_date < control_date THEN 'EARLY' ELSE 'LATE' END AS cutoff_reason FROM k)
@@ -127,6 +112,11 @@ _WEEK = "CAST(floor(datediff('day', make_date(year({d}), 1, 1), {d}) / 7.0) AS I
 _P445 = "'FY' || year({d}) || '-P' || lpad(CAST(CASE WHEN " + _WEEK + " >= 52 THEN 12 ELSE (" + _WEEK + " // 13) * 3 + CASE WHEN " + _WEEK + " % 13 < 4 THEN 1 WHEN " + _WEEK + " % 13 < 8 THEN 2 ELSE 3 END END AS VARCHAR), 2, '0')"
 
 
+def period_end() -> Column:
+    """The reporting date of the queries."""
+    return F.expr(_END)
+
+
 @query(_cutoff_sql("strftime({d}, '%Y-%m')"))
 def cutoff_natural_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.check_cutoff(C.ledger_dates(spark, sf_dir)).select(*_CUT)
@@ -150,7 +140,7 @@ def cutoff_risk_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.route_risk(cutoff.check_cutoff(C.ledger_dates(spark, sf_dir), period_end=F.expr(_END))).select("business_id", "direction", "interval", "risk_level")
 
 
-@query("WITH" + _DATES + f""" SELECT business_id, CASE WHEN control_date IS NULL THEN 'WARNING' WHEN (control_date <= {_END}) = (posting_date <= {_END}) THEN 'PASS' ELSE 'FAIL' END AS assertion_status,
+@query("WITH" + DATES_SQL + f""" SELECT business_id, CASE WHEN control_date IS NULL THEN 'WARNING' WHEN (control_date <= {_END}) = (posting_date <= {_END}) THEN 'PASS' ELSE 'FAIL' END AS assertion_status,
   CASE WHEN control_date IS NULL THEN NULL ELSE (control_date <= {_END}) = (posting_date <= {_END}) END AS in_period FROM dates""")
 def period_assertion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.period_assertion(C.ledger_dates(spark, sf_dir), F.expr(_END)).select("business_id", "assertion_status", "in_period")
@@ -174,7 +164,7 @@ def _verdict_sql(values: str, tolerance: float) -> str:
     return f"CASE WHEN greatest({values}) - least({values}) <= 1e-9 THEN 'EQUAL' WHEN {spread} <= {tolerance} THEN 'SOFT' ELSE 'HARD' END"
 
 
-_THREE_WAY = "WITH" + _LINES + f""",
+THREE_WAY_SQL = "WITH" + _LINES + f""",
 o AS (SELECT business_id, CAST(sum(qty) AS DOUBLE) AS oq, CAST(sum(amount) AS DOUBLE) AS oa FROM lines GROUP BY 1),
 s AS (SELECT l_orderkey AS business_id, CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS DECIMAL(18,4)) END) AS DOUBLE) AS rq, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS DECIMAL(18,4)) END) AS DOUBLE) AS iq,
   CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS ra, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS ia FROM lineitem GROUP BY 1),
@@ -188,7 +178,7 @@ m AS (SELECT business_id, oq AS order_qty, rq AS receipt_qty, iq AS invoice_qty,
 """
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     party = F.concat(F.lit("Party "), F.col("business_id"), F.lit(" Co., Ltd."))
     cols = ["business_id", "role", "qty", "amount", "party"]
     docs = C.order_lines(spark, sf_dir).withColumn("role", F.lit("order")).withColumn("party", party).select(*cols)
@@ -196,14 +186,14 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.three_way(docs).drop("order_party", "receipt_party", "invoice_party")
 
 
-@query(_THREE_WAY + "SELECT * FROM m")
+@query(THREE_WAY_SQL + "SELECT * FROM m")
 def three_way_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spark, sf_dir)
+    return matched(spark, sf_dir)
 
 
-@query(_THREE_WAY + "SELECT status, decision, count(*) AS n, count(*) FILTER (WHERE amount_verdict = 'HARD') AS n_amount_hard, count(*) FILTER (WHERE quantity_verdict = 'NOT_TESTED') AS n_untested FROM m GROUP BY 1, 2")
+@query(THREE_WAY_SQL + "SELECT status, decision, count(*) AS n, count(*) FILTER (WHERE amount_verdict = 'HARD') AS n_amount_hard, count(*) FILTER (WHERE quantity_verdict = 'NOT_TESTED') AS n_untested FROM m GROUP BY 1, 2")
 def desk_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spark, sf_dir).groupBy("status", "decision").agg(F.count("*").alias("n"), F.count_if(F.col("amount_verdict") == "HARD").alias("n_amount_hard"), F.count_if(F.col("quantity_verdict") == "NOT_TESTED").alias("n_untested"))
+    return matched(spark, sf_dir).groupBy("status", "decision").agg(F.count("*").alias("n"), F.count_if(F.col("amount_verdict") == "HARD").alias("n_amount_hard"), F.count_if(F.col("quantity_verdict") == "NOT_TESTED").alias("n_untested"))
 
 
 _ALLOC = "WITH" + _LINES + """,
@@ -289,11 +279,11 @@ def missing_required_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_ALLOC.replace("WITH", "WITH RECURSIVE", 0) + f""", totals AS (SELECT business_id, CASE max(CASE light WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 ELSE 1 END) WHEN 3 THEN 'RED' WHEN 2 THEN 'YELLOW' ELSE 'GREEN' END AS light FROM alloc GROUP BY 1),
-{_DATES}, k AS (SELECT business_id, CASE WHEN control_date IS NULL OR posting_date IS NULL THEN 'WARNING' WHEN (control_date <= {_END}) <> (posting_date <= {_END}) OR strftime(control_date, '%Y-%m') <> strftime(posting_date, '%Y-%m') THEN 'FAIL' ELSE 'PASS' END AS cutoff_status FROM dates),
-{_THREE_WAY.split('WITH', 1)[1].split('o AS (SELECT business_id', 1)[1].join(['o AS (SELECT business_id', ''])}
+{DATES_SQL}, k AS (SELECT business_id, CASE WHEN control_date IS NULL OR posting_date IS NULL THEN 'WARNING' WHEN (control_date <= {_END}) <> (posting_date <= {_END}) OR strftime(control_date, '%Y-%m') <> strftime(posting_date, '%Y-%m') THEN 'FAIL' ELSE 'PASS' END AS cutoff_status FROM dates),
+{THREE_WAY_SQL.split('WITH', 1)[1].split('o AS (SELECT business_id', 1)[1].join(['o AS (SELECT business_id', ''])}
 SELECT business_id, light, decision, cutoff_status FROM totals JOIN m USING (business_id) JOIN k USING (business_id)""")
 def audit_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: light, decision and cut-off status of each order."""
     totals = allocation.allocation_totals(_allocated(spark, sf_dir)).select("business_id", "light")
     cut = cutoff.check_cutoff(C.ledger_dates(spark, sf_dir), period_end=F.expr(_END)).select("business_id", "cutoff_status")
-    return totals.join(_matched(spark, sf_dir).select("business_id", "decision"), "business_id").join(cut, "business_id").select("business_id", "light", "decision", "cutoff_status")
+    return totals.join(matched(spark, sf_dir).select("business_id", "decision"), "business_id").join(cut, "business_id").select("business_id", "light", "decision", "cutoff_status")

@@ -13,8 +13,8 @@ TOLERANCE = "0.02"
 def recompute(df: DataFrame, qty: str = "qty", price: str = "price", discount: str = "discount", tax: str = "tax") -> DataFrame:
     """Adds gross_list, net, vat and total. Each is rounded half up once; a tax of 0 or less is an export without VAT.
     Null quantity or price gives nulls."""
-    q, p, d = quantity(F.col(qty)), quantity(F.col(price)), rate(F.coalesce(F.col(discount), F.lit(0)))
-    t = F.greatest(F.lit(0).cast("decimal(9,6)"), F.coalesce(F.col(tax), F.lit(0)).cast("decimal(9,6)"))
+    q, p, d = quantity(F.col(qty)), quantity(F.col(price)), rate(F.coalesce(F.col(discount).cast("decimal(9,6)"), F.lit(0)))
+    t = F.greatest(F.lit(0).cast("decimal(9,6)"), F.coalesce(F.col(tax).cast("decimal(9,6)"), F.lit(0)))
     full = (q * p).cast("decimal(28,6)")
     out = df.withColumn("gross_list", r2(full)).withColumn("net", r2((full * (1 - d).cast("decimal(9,6)")).cast("decimal(38,10)")))
     out = out.withColumn("vat", r2((F.col("net") * t).cast("decimal(28,8)")))
@@ -54,7 +54,7 @@ def diagnose(df: DataFrame, qty: str = "qty", price: str = "price", discount: st
     fine = F.abs(F.col("total_diff")) <= tol
     # without a split in the book, its net amount is the total less tax
     net = F.coalesce(money(F.col(book_net)).cast("double"), (money(F.col(book_total)) - F.col("vat")).cast("double"))
-    which = _price_or_discount(quantity(F.col(qty)).cast("double"), quantity(F.col(price)).cast("double"), F.coalesce(F.col(discount), F.lit(0)).cast("double"), net)
+    which = _price_or_discount(quantity(F.col(qty)).cast("double"), quantity(F.col(price)).cast("double"), F.coalesce(F.col(discount).cast("double"), F.lit(0.0)), net)
     net_ok, vat_ok = F.col("net_ok"), F.col("vat_ok")
     issue = (
         F.when(no_book | fine, "NONE")

@@ -35,14 +35,14 @@ def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("id", numbers.parse_number(F.col("raw")).alias("number"))
 
 
-@query("""SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS found, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 97 END AS days FROM orders""")
+@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS found, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 97 END AS days FROM orders""")
 def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written in five ways are read back as the date; payment days out of descriptions of terms."""
     d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 5
     written = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyy/M/d")).when(k == 2, F.date_format(d, "yyyyMMdd")).when(k == 3, F.date_format(d, "M/d/yyyy")).otherwise(F.date_format(d, "yyyy年M月d日"))
     terms = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("within "), (F.col("o_orderkey") % 97).cast("string"), F.lit(" days"))).otherwise(F.lit("at sight"))
     own = C.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("signed on "), written, F.lit(" by both")).alias("text"), terms.alias("terms"))
-    return own.select("id", dates.parse_date(F.col("text")).alias("found"), dates.payment_days(F.col("terms")).cast("long").alias("days"))
+    return own.select("id", dates.parse_date(F.col("text")).cast("string").alias("found"), dates.payment_days(F.col("terms")).cast("long").alias("days"))
 
 
 # ---- entities: the population is every seventh order; its aliases are its number and its customer's invoice series

@@ -342,17 +342,17 @@ _CONTROL = "CASE l_linenumber % 3 WHEN 0 THEN 'customer_receipt' WHEN 1 THEN 'on
 
 
 @query(f"""WITH c AS (SELECT l_orderkey AS d, {_CONTROL} AS e, CAST(l_shipdate AS DATE) AS t, l_discount AS c FROM lineitem), r AS (SELECT *, CASE e WHEN 'customer_receipt' THEN 2 ELSE 4 END AS p FROM c WHERE e <> 'note'),
-b AS (SELECT *, rank() OVER (PARTITION BY d ORDER BY p, c DESC) AS k FROM r) SELECT d AS doc_id, CASE WHEN min(t) = max(t) THEN min(t) END AS date FROM b WHERE k = 1 GROUP BY 1""")
+b AS (SELECT *, rank() OVER (PARTITION BY d ORDER BY p, c DESC) AS k FROM r) SELECT d AS doc_id, CASE WHEN min(t) = max(t) THEN strftime(min(t), '%Y-%m-%d') END AS date FROM b WHERE k = 1 GROUP BY 1""")
 def control_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = C.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.expr(_CONTROL).alias("event"), F.to_date("l_shipdate").alias("date"), F.col("l_discount").alias("confidence"))
-    return reviews.control_date(li)
+    return reviews.control_date(li).withColumn("date", F.col("date").cast("string"))
 
 
 @query(f"""WITH c AS (SELECT l_orderkey AS d, {_CONTROL} AS e, CAST(l_shipdate AS DATE) AS t FROM lineitem), g AS (SELECT d, min(t) FILTER (WHERE e = 'on_board') AS lo, max(t) FILTER (WHERE e = 'on_board') AS hi FROM c GROUP BY 1)
-SELECT d AS doc_id, CASE WHEN lo IS NULL THEN 'unresolved' WHEN lo = hi THEN 'supported' ELSE 'conflict' END AS result, CASE WHEN lo = hi THEN lo END AS date FROM g""")
+SELECT d AS doc_id, CASE WHEN lo IS NULL THEN 'unresolved' WHEN lo = hi THEN 'supported' ELSE 'conflict' END AS result, CASE WHEN lo = hi THEN strftime(lo, '%Y-%m-%d') END AS date FROM g""")
 def control_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = C.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.expr(_CONTROL).alias("event"), F.to_date("l_shipdate").alias("date"))
-    return reviews.assess_control(li)
+    return reviews.assess_control(li).withColumn("date", F.col("date").cast("string"))
 
 
 # ---- stored tables and streams
@@ -362,14 +362,14 @@ def _own(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
 
 
-@query("""SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS posting_date, 'SO' || o_orderkey AS biz_id, round(o_totalprice, 2) AS amount FROM orders""")
+@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS posting_date, 'SO' || o_orderkey AS biz_id, round(o_totalprice, 2) AS amount FROM orders""")
 def ledger_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger written as CSV under Chinese headers, read, mapped and projected."""
     path = _own(spark, "ledger") + ".csv"
     o = C.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy/M/d").alias(" 记账日期 "), F.concat(F.lit("so "), F.col("o_orderkey")).alias("业务编号"), F.format_string("%,.2f", "o_totalprice").alias("金额"))
     o.write.option("header", True).csv(path)
     raw = files.read_ledger(spark, path)
-    return files.project_ledger(raw, files.map_columns(raw.columns)).withColumn("id", F.substring("biz_id", 3, 20).cast("long"))
+    return files.project_ledger(raw, files.map_columns(raw.columns)).withColumns({"id": F.substring("biz_id", 3, 20).cast("long"), "posting_date": F.col("posting_date").cast("string")})
 
 
 @query("""WITH o AS (SELECT doc_id, sha256('f' || doc_id || ':' || md5(coalesce(text, '')))[1:32] AS fp FROM documents) SELECT 'f' || doc_id AS file_name, CASE WHEN doc_id % 5 = 0 THEN sha256('f' || doc_id || ':' || md5(coalesce(text, '') || '!'))[1:32] ELSE fp END AS fingerprint, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM o JOIN documents USING (doc_id)""")
@@ -382,11 +382,11 @@ def upload_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.append_uploads(old, new).select("file_name", "fingerprint", "version")
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1, 2")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1, 2")
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a stream and counted by the hour; windows are written once the watermark has passed them."""
     folder, out = _own(spark, "feed"), _own(spark, "counts")
     C.table(spark, sf_dir, "events").write.parquet(folder)
     stream = feeds.read_events(spark, folder, C.table(spark, sf_dir, "events").schema)
     feeds.run_to_table(feeds.windowed_counts(stream), out, _own(spark, "at"))
-    return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return spark.read.parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

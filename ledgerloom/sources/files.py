@@ -80,7 +80,7 @@ def looks_like_dates(df: DataFrame, column: str, rows: int = 100, share: float =
 
 def read_voucher_packs(spark: SparkSession, root: str, pattern: str = r"(SO[0-9]{2}-[0-9]{4})") -> DataFrame:
     """(business_id, file_name, raw_text) of the Markdown documents in folders named by a business."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(root)
+    df = spark.read.text(root, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
     path = F.col("_metadata.file_path")
     out = df.select(F.regexp_extract(path, pattern + r"[^/]*/[^/]*$", 1).alias("business_id"), F.url_decode(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("raw_text"))
     return out.where("business_id <> ''")

@@ -211,7 +211,7 @@ alloc AS (SELECT *, CASE WHEN list_has_any(f, ['OVER_RECEIPT', 'OVER_INVOICE_QTY
 """
 
 
-def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = C.order_lines(spark, sf_dir)
     # these lines carry the order and its line number, so the first key of the cascade binds each of them
     src = C.source_lines(spark, sf_dir).withColumn("order_line_id", F.concat_ws("-", "order_ref", "line_no")).withColumn("bind_status", F.lit("UNIQUE"))
@@ -221,14 +221,14 @@ def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ALLOC + "SELECT order_line_id, CAST(q AS DOUBLE) AS ordered_qty, CAST(r AS DOUBLE) AS received_qty, CAST(i AS DOUBLE) AS invoiced_qty, CAST(ra AS DOUBLE) AS received_amount, CAST(ia AS DOUBLE) AS invoiced_amount, array_to_string(f, ',') AS flags, light FROM alloc")
 def one_to_many_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _allocated(spark, sf_dir)
+    df = allocated(spark, sf_dir)
     return df.select("order_line_id", *(out(F.col(c)).alias(c) for c in ("ordered_qty", "received_qty", "invoiced_qty", "received_amount", "invoiced_amount")), F.array_join("flags", ",").alias("flags"), "light")
 
 
 @query(_ALLOC + """SELECT business_id, count(*) AS n_lines, CAST(sum(q) AS DOUBLE) AS ordered_qty, CAST(sum(r) AS DOUBLE) AS received_qty, CAST(sum(i) AS DOUBLE) AS invoiced_qty, CAST(sum(a) AS DOUBLE) AS order_amount,
   CASE max(CASE light WHEN 'RED' THEN 3 WHEN 'YELLOW' THEN 2 ELSE 1 END) WHEN 3 THEN 'RED' WHEN 2 THEN 'YELLOW' ELSE 'GREEN' END AS light FROM alloc GROUP BY 1""")
 def allocation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = allocation.allocation_totals(_allocated(spark, sf_dir))
+    t = allocation.allocation_totals(allocated(spark, sf_dir))
     return t.select("business_id", "n_lines", *(out(F.col(c)).alias(c) for c in ("ordered_qty", "received_qty", "invoiced_qty", "order_amount")), "light")
 
 
@@ -284,6 +284,6 @@ def missing_required_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT business_id, light, decision, cutoff_status FROM totals JOIN m USING (business_id) JOIN k USING (business_id)""")
 def audit_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: light, decision and cut-off status of each order."""
-    totals = allocation.allocation_totals(_allocated(spark, sf_dir)).select("business_id", "light")
+    totals = allocation.allocation_totals(allocated(spark, sf_dir)).select("business_id", "light")
     cut = cutoff.check_cutoff(C.ledger_dates(spark, sf_dir), period_end=F.expr(_END)).select("business_id", "cutoff_status")
     return totals.join(matched(spark, sf_dir).select("business_id", "decision"), "business_id").join(cut, "business_id").select("business_id", "light", "decision", "cutoff_status")

@@ -239,5 +239,5 @@ def notes(parts: list[Column]) -> Column:
 
 def summary_text(business: Column, status: Column, ordered: Column, received: Column, invoiced: Column) -> Column:
     """One sentence on a business, for readers."""
-    num = lambda c: F.coalesce(F.format_string("%.2f", c.cast("double")), F.lit("-"))
+    num = lambda c: F.when(c.isNull(), "-").otherwise(F.format_string("%.2f", c.cast("double")))
     return F.concat(F.lit("Business "), business.cast("string"), F.lit(": "), F.lower(status), F.lit("; ordered "), num(ordered), F.lit(", received "), num(received), F.lit(", invoiced "), num(invoiced), F.lit("."))

@@ -52,13 +52,13 @@ def per_invoice_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.per_invoice(inv, anchors, F.col("cutoff"))
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey AS g, l_linenumber AS d, l_suppkey % 5 AS k FROM lineitem WHERE l_orderkey % 3 = 0), e AS (SELECT DISTINCT a.g, a.d AS x, b.d AS y FROM c a JOIN c b USING (g, k)),
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS g, l_linenumber AS d, l_suppkey % 5 AS k FROM lineitem), e AS (SELECT DISTINCT a.g, a.d AS x, b.d AS y FROM c a JOIN c b USING (g, k)),
 r AS (WITH RECURSIVE reach AS (SELECT g, x, y FROM e UNION SELECT reach.g, reach.x, e.y FROM reach JOIN e ON reach.g = e.g AND reach.y = e.x) SELECT g, x, min(y) AS m FROM reach GROUP BY 1, 2),
 s AS (SELECT r.g, r.m, sum(1 + a) AS score FROM r JOIN (SELECT g, d, count(*) FILTER (WHERE k < 2) AS a FROM c GROUP BY 1, 2) n ON n.g = r.g AND n.d = r.x GROUP BY 1, 2), b AS (SELECT g, max(score) AS best FROM s GROUP BY 1)
 SELECT r.g AS chain_id, r.x AS line, CAST(s.score AS BIGINT) AS score, s.score = b.best AS top FROM r JOIN s ON s.g = r.g AND s.m = r.m JOIN b ON b.g = r.g""")
 def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order that share a supplier family, with the score of their component; top: none of the order has more."""
-    c = C.table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("group"), F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).alias("doc_id"), (F.col("l_suppkey") % 5).cast("string").alias("key"))
+    c = C.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).alias("doc_id"), (F.col("l_suppkey") % 5).cast("string").alias("key"))
     c = c.withColumn("doc_id", F.concat_ws("-", "doc_id.o", "doc_id.n"))
     anchors = spark.range(2).select(F.col("id").cast("string").alias("key"))
     got = chains.evidence_components(c, anchors)

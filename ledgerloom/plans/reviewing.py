@@ -106,10 +106,10 @@ def trade_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("chain_id", clauses.trade_status(F.col("code"), F.col("place"), F.lit(None).cast("string"), clauses.trade_facts(F.col("text"))).alias("status"))
 
 
-@query("""WITH v AS (SELECT user_id AS doc_id, CASE WHEN event_id % 400 = 0 THEN 'cif Port' ELSE 'FOB Port ' || event_id END AS v, CASE WHEN user_id % 3 = 0 THEN 0.5 END AS c FROM events WHERE user_id % 2 = 0 OR event_id % 3 = 0), g AS (SELECT doc_id, min(upper(split_part(v, ' ', 1))) AS lo, max(upper(split_part(v, ' ', 1))) AS hi, max(coalesce(c, 1.0)) AS c FROM v GROUP BY 1)
+@query("""WITH v AS (SELECT user_id AS doc_id, CASE WHEN event_id % 400 = 0 THEN 'cif Port' ELSE 'FOB Port ' || event_id END AS v, CASE WHEN user_id % 3 = 0 THEN 0.5 END AS c FROM events), g AS (SELECT doc_id, min(upper(split_part(v, ' ', 1))) AS lo, max(upper(split_part(v, ' ', 1))) AS hi, max(coalesce(c, 1.0)) AS c FROM v GROUP BY 1)
 SELECT doc_id, CASE WHEN lo = hi THEN lo END AS code, CASE WHEN lo = hi AND c >= 0.9 THEN 'OK' ELSE 'UNRELIABLE' END AS availability FROM g""")
 def trade_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = C.table(spark, sf_dir, "events").where("user_id % 2 = 0 OR event_id % 3 = 0")
+    e = C.table(spark, sf_dir, "events")
     value = F.when(F.col("event_id") % 400 == 0, "cif Port").otherwise(F.concat(F.lit("FOB Port "), F.col("event_id")))
     return clauses.trade_slot(e.select(F.col("user_id").alias("doc_id"), value.alias("value"), F.when(F.col("user_id") % 3 == 0, 0.5).alias("confidence")))
 

@@ -247,6 +247,20 @@ def test_retrieval(spark):
     assert retrieval.learned_cutoff(scores.union(scores.limit(0).union(spark.createDataFrame([(0.5, "not_useful")], "score double, label string")))).first().cutoff == 1.25
 
 
+def test_nearest(spark):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for i in range(700)] + [(900, None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    asked = df.where("vec_id % 100 = 0").select((F.col("vec_id") + 1).alias("query_id"), F.col("embedding").alias("vec"))
+    for size in (10**6, 64):
+        got = sorted(tuple(r) for r in retrieval.nearest(df, asked, 5, block_bytes=size).collect())
+        want = [(q + 1, n + 1, i, -s) for q in range(0, 700, 100) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, rows[q][1])), i) for i, v in rows if v)[:5])]
+        assert got == want
+    assert retrieval.nearest(df, asked.limit(0)).count() == retrieval.nearest(df.limit(0), asked).count() == 0
+    with pytest.raises(Exception, match="differ in length"):
+        retrieval.nearest(df, spark.createDataFrame([(1, [1.0])], "query_id int, vec array<double>")).count()
+
+
 def test_clauses(spark):
     cases = [("合同采用随行就市结算, 账期另定", {"CONSIDERATION_FORMULA_AMBIGUOUS"}), ("随行就市, 按价格指数", set()), ("给予返利", {"REBATE_TERM_AMBIGUOUS"}), ("本合同不包含任何形式的返利", set()), ("返利 3% 按采购额, 现金兑现", set()), ("货到付款", {"PAYMENT_DUE_DATE_UNDEFINED"}), ("货到付款, 验收后30天", set()), ("首款与尾款另行通知", {"INSTALLMENT_TERM_UNDEFINED"}), ("首款30%, 尾款70%", set()), ("字" * 180, {"PAYMENT_TERMS_MISSING"}), ("FOB; CARRIER takes charge", {"CONTROL_TRANSFER_TRIGGER_CONFLICT"}), (None, set())]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id int, text string")

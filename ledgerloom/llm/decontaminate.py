@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.batches import few_rows, texts_of
+
 WINDOW = 10
 #: Windows of items in one broadcast set.
 SET_WINDOWS = 1_000_000
@@ -97,7 +99,7 @@ def _scan(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
         windows = known.value
         for batch in batches:
             counts, runs, items = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts_of(batch.column(1)):
                 words = words_of(text)
                 hit, found = windows.hits(words)
                 counts.append(len(words))
@@ -107,7 +109,7 @@ def _scan(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["row_key", "n_words", "runs", "items"])
 
     kind = docs.schema["row_key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"row_key {kind}, n_words long, runs array<bigint>, items array<string>")
+    return few_rows(docs).mapInArrow(run, f"row_key {kind}, n_words long, runs array<bigint>, items array<string>")
 
 
 def _covered(runs: list[list[int]]) -> int:
@@ -158,6 +160,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", te
         def cleaned(text: str | None, known=known) -> str | None:
             return _cut(text, known.value, mode)
 
+        docs = few_rows(docs)
         # two columns, so that a null text differs from a document that goes
         apply = F.pandas_udf(lambda s, f=cleaned: s.map(f), "string")
         done = apply(F.coalesce(F.col(text_col), F.lit("")))

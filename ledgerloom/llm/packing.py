@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.batches import few_rows, texts_of
 from ledgerloom.plans.stash import stash
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 WINDOW = 2048
 #: Entries of a worker's table of known chunks; it starts afresh beyond. No effect on results.
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 100_000
 
 # Strings that the plain way below doesn't treat as the tokenizer does; texts that hold them go to the tokenizer whole.
 _ODD = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|[\x1c-\x1f\x85]")
@@ -66,12 +67,15 @@ class Encoder(dict):
         ids = self[chunk] = b"".join([self._of_word(w) for w in self.word.findall(chunk)])
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.words.clear()
+
     def encode(self, text: str) -> bytes:
         if _ODD.search(text):
             return b"".join([i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids])
         if len(self) > KNOWN_CHUNKS:
-            self.clear()
-            self.words.clear()
+            self.forget()
         # lower() knows a final sigma, the tokenizer doesn't
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return b"".join(map(self.__getitem__, text.split()))
@@ -89,7 +93,7 @@ def encoder(path: str) -> Encoder:
 
 def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """(part, before, doc_id, doc_tokens, ids): the ids of each document and its end, and its place in its partition."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = few_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +101,13 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(path)
         for batch in batches:
-            ids = [enc.encode(t) + end for t in batch.column(1).to_pylist()]
+            ids = [enc.encode(t) + end for t in texts_of(batch.column(1))]
             sizes, before = [len(x) // 4 for x in ids], []
             for n in sizes:
                 before.append(at)
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "doc_tokens", "ids"])
+        enc.forget()
 
     return own.mapInArrow(run, "part int, before long, doc_id long, doc_tokens long, ids binary")
 

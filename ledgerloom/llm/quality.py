@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.batches import few_rows, texts_of
 from ledgerloom.plans.stash import SMALL_ROWS, stash
 
 #: Shrinkage of a class covariance towards the pooled one, and of that towards the identity's multiple.
@@ -70,11 +71,11 @@ def features(text: str | None) -> list[float]:
 
 def with_features(docs: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
     """The key columns and x, the statistics of each text."""
-    own = docs.select(*key_cols, F.col(text_col).alias("__text"))
+    own = few_rows(docs).select(*key_cols, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([features(t) for t in batch.column(len(key_cols)).to_pylist()], pa.list_(pa.float64()))
+            x = pa.array([features(t) for t in texts_of(batch.column(len(key_cols)))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(key_cols)], x], [*key_cols, "x"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[:-1])
@@ -175,7 +176,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.array([features(t) for t in texts], np.float64).reshape(len(texts), D)))
 
-    return docs.where(score(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)
+    return few_rows(docs).where(score(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

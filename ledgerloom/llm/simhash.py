@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.batches import few_rows, texts_of
 from ledgerloom.operators.components import connected_components
 from ledgerloom.plans.stash import small, stash
 
@@ -34,6 +35,8 @@ WIDTHS = (22, 21, 21)
 GENERATOR = 0b101011100011
 #: A bucket of more rows than this is dealt into blocks of so many.
 BLOCK_ROWS = 1024
+#: Rows of buckets that a task looks at together; buckets larger than the second number have a forest of their own.
+GATHERED, TOGETHER = 40_000, 32
 
 
 @lru_cache(1)
@@ -112,13 +115,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, key_cols: list[str], text_col: str = "text", shingle: int = 4, prints: int = 1) -> DataFrame:
     """The key columns and f0, f1, ...: SimHash fingerprints of the whole text, as signed longs."""
-    own = docs.select(*key_cols, F.col(text_col).alias("__text"))
+    own = few_rows(docs).select(*key_cols, F.col(text_col).alias("__text"))
     names = [f"f{i}" for i in range(prints)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = [[] for _ in names]
-            for text in batch.column(len(key_cols)).to_pylist():
+            for text in texts_of(batch.column(len(key_cols))):
                 h = shingle_hashes(text, shingle)
                 for i, column in enumerate(out):
                     h = _mixed(h) if i else h
@@ -176,7 +179,7 @@ def _links(batch: pa.Table, names: list[str], most: int) -> pa.RecordBatch:
     a = starts[sizes == 2]
     ok = np.bitwise_count(f[a] ^ f[a + 1]).sum(1) <= most
     pairs.append((a[ok], a[ok] + 1))
-    small = np.flatnonzero((sizes[run] > 2) & (sizes[run] <= 48))
+    small = np.flatnonzero((sizes[run] > 2) & (sizes[run] <= TOGETHER))
     hits = []
     last = starts[run] + sizes[run]
     for d in range(1, int(sizes[run[small]].max()) if len(small) else 0):
@@ -200,7 +203,7 @@ def _links(batch: pa.Table, names: list[str], most: int) -> pa.RecordBatch:
                 kept.append((x, y))
         if kept:
             pairs.append(tuple(np.array(kept).T))
-    for s, n in zip(starts[sizes > 48].tolist(), sizes[sizes > 48].tolist(), strict=True):
+    for s, n in zip(starts[sizes > TOGETHER].tolist(), sizes[sizes > TOGETHER].tolist(), strict=True):
         if found := _forest(f[s : s + n], most):
             pairs.append(tuple(np.array(found).T + s))
     a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
@@ -229,7 +232,7 @@ def near_links(nodes: DataFrame, names: list[str], most: int, block_rows: int =
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows < 200_000:
+            if rows < GATHERED:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             # the last run may go on
@@ -315,7 +318,7 @@ def shingle_sets(docs: DataFrame, key_col: str, text_col: str, shingle: int) ->
                 s = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.list_(pa.int64()))], ["node", "s"])
 
-    return docs.select(key_col, text_col).mapInArrow(run, "node long, s array<bigint>").dropDuplicates(["node"])
+    return few_rows(docs).select(key_col, text_col).mapInArrow(run, "node long, s array<bigint>").dropDuplicates(["node"])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

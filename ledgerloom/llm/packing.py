@@ -107,7 +107,6 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 before.append(at)
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "doc_tokens", "ids"])
-        enc.forget()
 
     return own.mapInArrow(run, "part int, before long, doc_id long, doc_tokens long, ids binary")
 

@@ -9,8 +9,8 @@ Copies of a whole document are no evidence of a template: a document most of who
 no vote. So the lines that copies share with nothing but their copies stay (near-duplicate removal deals with those),
 while a recurring line goes from copies too.
 
-Only leaves with enough lines are looked into; the lines of a very full leaf are dealt by their next tokens and then
-taken in bounded runs in the order of their texts. Lines of fewer tokens than a minimum are left alone, as short
+Only leaves with enough lines are looked into, each of them whole, however full it is: a line is compared with the
+templates that an index of runs of tokens finds, and no other template can agree with it in enough positions. Lines of fewer tokens than a minimum are left alone, as short
 sentences recur by chance.
 
 Defined cases: a null text has no lines and stays null; an empty line is no template; repeated rows, equal in id and
@@ -20,6 +20,7 @@ rows; other columns are kept by drop_templates().
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,8 +38,9 @@ from ledgerloom.plans.stash import SMALL_ROWS, small, stash
 LEADING, AGREE, DOCUMENTS, TOKENS = 2, 0.7, 10, 3
 #: Share of its words in recurring lines beyond which a document has no vote.
 COPIED = 0.5
-#: Lines of a leaf that are compared with one another.
-LEAF_LINES = 512
+#: Lines of a leaf that are compared with one another: all. A finite number cuts fuller leaves into runs, and templates
+#: across them are lost.
+LEAF_LINES = math.inf
 WILD = "<*>"
 
 _VARIABLE = re.compile("[0-9@]|://")
@@ -105,23 +107,40 @@ def _line_texts(docs: DataFrame) -> DataFrame:
     return few_rows(docs).select("text").mapInArrow(run, "leaf long, next long, mask long, line string")
 
 
+def _segments(tokens: int, agree: float) -> list[slice]:
+    """Runs of positions behind the leading ones, one more than may differ: who agrees in enough positions agrees in all
+    of one run."""
+    differ = tokens - next(c for c in range(tokens + 1) if c / tokens >= agree)
+    ends = np.linspace(LEADING, tokens, min(differ + 1, tokens - LEADING) + 1).astype(int).tolist()
+    return [slice(a, b) for a, b in zip(ends, ends[1:])] if differ < tokens - LEADING else []  # noqa: B905
+
+
 def grow(lines: list[tuple[int, str]], agree: float = AGREE) -> list[tuple[int, int]]:
     """(mask, template) of the lines of one leaf, all of one length, in their order; only lines that share a template.
     A template is named by the mask of its first line."""
     ids: dict[str, int] = {WILD: 0}
-    rows = np.array([[ids.setdefault(t, len(ids)) for t in line.split(" ")] for _, line in lines])
+    rows = np.array([[ids.setdefault(t, len(ids)) for t in line.split(" ")] for _, line in lines], np.int32)
+    segments = _segments(rows.shape[1], agree)
+    # the templates whose first lines have these tokens there; without a wildcard, as wildcards never agree
+    index: dict[tuple[int, bytes], list[int]] = {}
     names: list[int] = []
     kept = np.zeros_like(rows)
     out, sizes = [], {}
     for (mask, _), row in zip(lines, rows, strict=True):
-        if names:
-            same = ((kept[: len(names)] == row) & (row != 0)).mean(1)
+        keys = [(i, row[s].tobytes()) for i, s in enumerate(segments) if row[s].all()]
+        near = sorted({x for k in keys for x in index.get(k, ())}) if segments else range(len(names))
+        if near:
+            near = np.fromiter(near, np.int64, len(near))
+            same = ((kept[near] == row) & (row != 0)).mean(1)
             best = int(same.argmax())
             if same[best] >= agree:
+                best = int(near[best])
                 kept[best][kept[best] != row] = 0
                 out.append((mask, names[best]))
                 sizes[names[best]] = sizes.get(names[best], 1) + 1
                 continue
+        for k in keys:
+            index.setdefault(k, []).append(len(names))
         kept[len(names)] = row
         names.append(mask)
         out.append((mask, mask))
@@ -129,8 +148,10 @@ def grow(lines: list[tuple[int, str]], agree: float = AGREE) -> list[tuple[int,
 
 
 def _runs(lines: DataFrame) -> DataFrame:
-    """lines: (g, mask, line). Adds run: each group in runs of LEAF_LINES, in the order of the texts. A line's place in
+    """lines: (g, mask, line). Adds run: 0, or each group in runs of LEAF_LINES, in the order of the texts. A line's place in
     its group is its place in the whole order less that of the group's first line, so a hot group is in no task whole."""
+    if LEAF_LINES == math.inf:
+        return lines.select("g", F.lit(0).alias("run"), "mask", "line")
     placed = stash(ranked(lines, "g", "line", "mask"), "placed")
     first = small(stash(placed.groupBy("g").agg(F.min("rank").alias("first")), "first"))
     return placed.join(first, "g").select("g", F.floor((F.col("rank") - F.col("first")) / LEAF_LINES).alias("run"), "mask", "line")

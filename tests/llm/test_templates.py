@@ -84,5 +84,29 @@ def test_full_leaves_in_runs(spark, monkeypatch):
     assert any(cut for *_, cut in got)
 
 
+def test_a_full_leaf_is_one(spark):
+    """Over 512 lines of a leaf that share a template of their own, and ten that stand far apart among others."""
+    rnd = random.Random(7)
+    name = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    own = lambda: " ".join(name() for _ in range(12))
+    rows = [(i, f"Posted by {name()} in the archive of the town\n{own()}") for i in range(600)]
+    rows += [(1000 + i, f"Posted by {' '.join(name() for _ in range(7))}\n{own()}") for i in range(1500)]
+    rows += [(5000 + i, f"Posted by {chr(97 + 2 * i)}{name()} for all who read {chr(97 + i)}x here\n{own()}") for i in range(10)]
+    got = sorted((r.doc_id, r.text, r["__dropped"]) for r in T.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(d, cut) for d, _, cut in got] == [(d, [] if 1000 <= d < 5000 else [0]) for d, _ in rows]
+    assert got == sorted(brute(rows, T.DOCUMENTS, 10**9))
+
+
+def test_the_index_finds_every_template(monkeypatch):
+    rnd = random.Random(5)
+    for n in (3, 4, 5, 6, 7, 10, 20):
+        lines = sorted({" ".join(["a", "b", *(rnd.choice(["x", "y", T.WILD, *("zuvw" if rnd.random() < 0.3 else "")]) for _ in range(n - 2))]) for _ in range(300)})
+        lines = [(i, x) for i, x in enumerate(lines)]
+        found = T.grow(lines)
+        with monkeypatch.context() as m:
+            m.setattr(T, "_segments", lambda *_: [])
+            assert T.grow(lines) == found
+
+
 def test_empty(spark):
     assert T.drop_templates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

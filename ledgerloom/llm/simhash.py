@@ -261,36 +261,25 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return prints.join(labels, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Settings of near_dedup(): independent fingerprints of five-word shingles; candidates differ in no more than so many
-#: of the 64 bits that they share a key of, and are verified on their shingles.
-DEDUP_SHINGLE, DEDUP_PRINTS, DEDUP_BITS, DEDUP_SIMILARITY = 5, 2, 12, 0.8
+#: Settings of near_dedup(): words of a shingle, and the least Jaccard similarity of near copies.
+DEDUP_SHINGLE, DEDUP_SIMILARITY = 5, 0.8
+#: Longs of a parity bitmap.
+BITMAP = 4
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY) -> DataFrame:
     """One document of each group of exact and near copies, in its own columns: that with the smallest id.
 
-    Equal texts are one node. Near copies are nodes that share a Golay key of one of two fingerprints and whose sets
-    of shingles have a Jaccard similarity of at least `similarity`, verified exactly on the edges of each bucket's
-    minimum spanning forest. Texts without words are copies of one another only if equal. Rows that are the same in
-    id and text are one. A pair of that similarity shares no key with a probability that falls as the similarity
-    rises; the README has the measured recall.
+    Equal texts are one node. Near copies are nodes whose sets of shingles have a Jaccard similarity of at least
+    `similarity`: every such pair is linked, directly or through other such pairs (near_pairs()). Texts without words
+    are copies of one another only if equal. Rows that are the same in id and text are one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.withColumns({"__h": F.xxhash64(text), "__c": F.hash(text), "__null": F.col(id_col).isNull(), "__id": F.col(id_col)})
-    names = [f"f{i}" for i in range(DEDUP_PRINTS)]
-    rows = stash(fingerprints(marked.withColumn("__blank", F.length(F.trim(text)) == 0), ["__h", "__c", "__null", "__id", "__blank"], text_col, shingle, DEDUP_PRINTS), "rows")
-    texts = rows.groupBy("__h", "__c").agg(F.min(F.struct("__null", "__id")).alias("first"), F.max("__blank").alias("blank"), *(F.min(n).alias(n) for n in names))
-    texts = stash(texts.select("__h", "__c", F.col("first.__null").alias("__null"), F.col("first.__id").alias("__id"), "blank", *names), "texts")
-    nodes = texts.where(~F.col("blank")).select(F.col("__h").alias("node"), *names)
-    links = near_links(nodes.select("node", F.col(names[0]).alias("f0")), ["node", "f0"], DEDUP_BITS)
-    for n in names[1:]:
-        links = links.unionByName(near_links(nodes.select("node", F.col(n).alias("f0")), ["node", "f0"], DEDUP_BITS))
-    edges = stash(links.distinct(), "candidates")
-    ends = stash(edges.select(F.col("src").alias("__h")).unionByName(edges.select(F.col("dst").alias("__h"))).distinct(), "ends")
-    sets = stash(shingle_sets(marked.select("__h", text_col).join(small(ends), "__h", "left_semi"), "__h", text_col, shingle), "sets")
-    both = edges.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
-    common = F.size(F.array_intersect("a", "b"))
-    near = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
+    rows = stash(marked.select("__h", "__c", "__null", "__id"), "rows")
+    texts = rows.groupBy("__h", "__c").agg(F.min(F.struct("__null", "__id")).alias("first"))
+    texts = stash(texts.select("__h", "__c", F.col("first.__null").alias("__null"), F.col("first.__id").alias("__id")), "texts")
+    near = near_pairs(marked.select("__h", text_col), shingle, similarity)
     members = stash(connected_components(near).withColumnRenamed("node", "__h").join(texts, "__h"), "members")
     first = stash(members.groupBy("component").agg(F.min(F.struct("__null", "__id", "__h", "__c")).alias("first")), "first")
     dropped = members.join(first, "component").where(F.struct("__null", "__id", "__h", "__c") != F.col("first")).select("__h", "__c", F.lit(True).alias("drop"))
@@ -321,5 +310,135 @@ def shingle_sets(docs: DataFrame, key_col: str, text_col: str, shingle: int) ->
     return few_rows(docs).select(key_col, text_col).mapInArrow(run, "node long, s array<bigint>").dropDuplicates(["node"])
 
 
+def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """docs: (key, text). (node, n, b0.., prefix array<long>): the number of distinct shingles, the parity of the number of
+    them at each of 64 * BITMAP places, and so many of the least hashes that two sets of the similarity have one in
+    common."""
+    bits = [f"b{i}" for i in range(BITMAP)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sizes, prefixes, maps = [], [], []
+                for text in texts_of(part.column(1)):
+                    s = np.unique(shingle_hashes(text, shingle))
+                    n = len(s)
+                    sizes.append(n)
+                    prefixes.append(s[: n - int(np.ceil(similarity * n - 1e-6)) + 1].view(np.int64))
+                    odd = np.bincount((s & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+                    maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                maps = np.stack(maps)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), *(pa.array(maps[:, i].copy()) for i in range(BITMAP)), pa.array(prefixes, pa.list_(pa.int64()))], ["node", "n", *bits, "prefix"])
+
+    return few_rows(docs).mapInArrow(run, "node long, n int, " + "".join(f"{b} long, " for b in bits) + "prefix array<bigint>").where("n > 0").dropDuplicates(["node"])
+
+
+def _proposals(table: pa.Table, low: int, high: int, similarity: float) -> pa.RecordBatch:
+    """Of complete groups, for each row the rows after it that may be near copies: those in places low to high by distance,
+    without those of its own component. (src, dst, more): more names, as src, a key that has candidates beyond."""
+    node, size, comp, key = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "comp", "key"))
+    f = np.stack([table.column(f"b{i}").to_numpy().view(np.uint64) for i in range(BITMAP)], axis=1)
+    group = np.stack([key, *(table.column(c).to_numpy().astype(np.int64) for c in ("i", "j"))], axis=1)
+    new = np.concatenate(([True], (group[1:] != group[:-1]).any(1)))
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate((starts, [len(node)])))
+    run = np.cumsum(new) - 1
+
+    def candidates(a: np.ndarray, b: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        # no more shingles than these can differ; bitmaps and sizes differ in no more than the shingles do
+        d = np.maximum(np.bitwise_count(f[a] ^ f[b]).sum(-1, dtype=np.int64), np.abs(size[a] - size[b]))
+        return d, d * (1 + similarity) <= (size[a] + size[b]) * (1 - similarity) + 1e-6
+
+    pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    more: list[np.ndarray] = [np.zeros(0, np.int64)]
+    few = np.flatnonzero(sizes[run] <= TOGETHER)
+    last = starts[run] + sizes[run]
+    hits = [np.zeros((0, 3), np.int64)]
+    for step in range(1, int(sizes[run[few]].max()) if len(few) else 0):
+        a = few[few + step < last[few]]
+        d, ok = candidates(a, a + step)
+        hits.append(np.stack((a[ok], d[ok], a[ok] + step), axis=1))
+    hits = np.concatenate(hits)
+    hits = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
+    place = np.arange(len(hits)) - np.searchsorted(hits[:, 0], hits[:, 0])
+    apart = comp[hits[:, 0]] != comp[hits[:, 2]]
+    pairs.append(hits[(place >= low) & (place < high) & apart][:, [0, 2]])
+    more.append(key[hits[(place >= high) & apart, 0]])
+    for s, n in zip(starts[sizes > TOGETHER].tolist(), sizes[sizes > TOGETHER].tolist(), strict=True):
+        if (comp[s : s + n] == comp[s]).all():
+            continue
+        for a in range(s, s + n - 1):
+            d, ok = candidates(a, slice(a + 1, s + n))
+            at = np.flatnonzero(ok)
+            if len(at) <= low:
+                continue
+            at = at[np.argsort(d[at], kind="stable")] + a + 1
+            b = at[low:high][comp[at[low:high]] != comp[a]]
+            pairs.append(np.stack((np.full(len(b), a), b), axis=1))
+            if (comp[at[high:]] != comp[a]).any():
+                more.append(key[a : a + 1])
+    p = np.concatenate(pairs)
+    e = np.unique(np.sort(node[p], axis=1), axis=0)
+    m = np.unique(np.concatenate(more))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((e[:, 0], m))), pa.array(np.concatenate((e[:, 1], m))), pa.array(np.arange(len(e) + len(m)) >= len(e))], ["src", "dst", "more"])
+
+
+def near_pairs(docs: DataFrame, shingle: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs: (key, text). (src, dst): pairs of keys of the similarity, so many that any two such keys are connected.
+
+    Sets of the similarity share one of their least hashes, so they meet under it; buckets of very many are dealt into
+    blocks, and each pair of blocks meets. Candidates, those that bitmaps and sizes cannot rule out, are taken in rounds:
+    each row's nearest, then four times as many of the next, and so on, but for those that verified pairs have connected. So copies of one text take one round, and no candidate is left out.
+    """
+    key_col, text_col = docs.columns
+    prefixes = stash(_prefixes(docs, shingle, similarity), "prefixes")
+    bits = [f"b{i}" for i in range(BITMAP)]
+    posted = prefixes.select(F.explode("prefix").alias("key"), "node", "n", *bits)
+    blocks = F.when(F.col("count") > 2 * block_rows, F.ceil(F.col("count") / block_rows)).otherwise(1).cast("int")
+    shared = stash(posted.groupBy("key").count().where("count > 1").select("key", blocks.alias("blocks")), "shared")
+    met = stash(posted.join(small(shared), "key"), "met")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    verified, comps, low, high = None, None, 0, 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < GATHERED:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            # the last group may go on
+            k, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+            end = int(np.flatnonzero((k != k[-1]) | (i != i[-1]) | (j != j[-1])).max(initial=-1)) + 1
+            if end:
+                yield _proposals(table.slice(0, end), *places, similarity)
+            held, rows = table.slice(end).to_batches(), table.num_rows - end
+        if rows:
+            yield _proposals(pa.Table.from_batches(held).combine_chunks(), *places, similarity)
+
+    while True:
+        places = (low, high)
+        now = met.withColumn("comp", F.col("node")) if comps is None else met.join(small(comps), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        dealt = now.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", *bits, "comp")
+        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        found = stash(dealt.mapInArrow(run, "src long, dst long, more boolean").distinct(), "candidates")
+        edges = found.where(~F.col("more")).select("src", "dst")
+        ends = stash(edges.select(F.col("src").alias(key_col)).unionByName(edges.select(F.col("dst").alias(key_col))).distinct(), "ends")
+        sets = stash(shingle_sets(docs.join(small(ends), key_col, "left_semi"), key_col, text_col, shingle), "sets")
+        both = edges.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
+        common = F.size(F.array_intersect("a", "b"))
+        near = stash(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"), "near")
+        verified = near if verified is None else verified.unionByName(near)
+        left = stash(found.where("more").select(F.col("src").alias("key")), "left")
+        if left.isEmpty():
+            return verified
+        comps = stash(connected_components(verified), "comps")
+        met = stash(met.join(small(left), "key", "left_semi"), "met")
+        low, high = high, 4 * high + 1
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

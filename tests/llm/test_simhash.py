@@ -74,3 +74,36 @@ def test_near_dedup_keeps_the_first_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, node int")
     got = sorted(S.near_dedup(df).select("doc_id", "node").collect())
     assert [tuple(r) for r in got] == [(3, 2), (5, 4), (6, 5), (8, 8)]
+
+
+def linked(sets, at_least=0.8):
+    label = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if len(x & y) >= at_least * len(x | y):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if k == old else k for k in label]
+    return label
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_near_dedup_against_all_pairs_about_the_threshold(spark, block, monkeypatch):
+    """Isolated pairs and families with much in common, many of them just over or under the similarity."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for n in range(150):
+        a = [word() for _ in range(150)]
+        texts += [a, [*a[: 133 + n % 8], *(word() for _ in range(17 - n % 8))]]
+    for _ in range(3):
+        form = [word() for _ in range(120)]
+        for _ in range(40):
+            own, k = list(form), rnd.randrange(0, 100, 5)
+            own[k : k + rnd.randrange(1, 16)] = [word() for _ in range(rnd.randrange(1, 16))]
+            texts.append(own)
+    texts = [" ".join(t) for t in texts]
+    label = linked([set(S.shingle_hashes(t, 5).tolist()) for t in texts])
+    monkeypatch.setattr(S.near_pairs, "__defaults__", (S.DEDUP_SHINGLE, S.DEDUP_SIMILARITY, block))
+    got = sorted(r.doc_id for r in S.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == sorted(set(label))
+    assert 300 < len(set(label)) - sum(label[i] == i for i in range(300)) + 300 and 0 < sum(label[i] != i for i in range(300)) < 150

@@ -107,3 +107,18 @@ def test_near_dedup_against_all_pairs_about_the_threshold(spark, block, monkeypa
     got = sorted(r.doc_id for r in S.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert got == sorted(set(label))
     assert 300 < len(set(label)) - sum(label[i] == i for i in range(300)) + 300 and 0 < sum(label[i] != i for i in range(300)) < 150
+
+
+def test_a_nearer_text_that_fails_hides_no_pair():
+    """A and B are nearest to C, which is no copy of either; A and B come in the next round."""
+    import pyarrow as pa
+
+    far = lambda d: (1 << d) - 1
+    rows = [(1, far(8)), (2, far(8) << 8), (3, 0)]
+    columns = {"key": [7] * 3, "i": [0] * 3, "j": [0] * 3, "node": [3, 1, 2], "n": [300] * 3, "b0": [0, rows[0][1], rows[1][1]], "b1": [0] * 3, "b2": [0] * 3, "b3": [0] * 3, "comp": [3, 1, 2]}
+    seen = set()
+    for low, high in ((0, 1), (1, 5)):
+        out = S._proposals(pa.table(columns), low, high, 0.8).to_pylist()
+        seen |= {(r["src"], r["dst"]) for r in out if not r["more"]}
+    assert seen == {(1, 2), (1, 3), (2, 3)}
+    assert not any(r["more"] for r in out)

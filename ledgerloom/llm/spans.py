@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans (operator 10).
 
 A text is read as units: sentences (up to a ., ! or ? before white space, or a line's end), long ones cut into chunks
-of a fixed number of words. From every unit forwards, and to every unit backwards, the shortest run of several units
+of a bounded number of words, where the words themselves say so; so a passage inside a long sentence is cut alike
+wherever it stands, but for some words at its ends. From every unit forwards, and to every unit backwards, the shortest run of several units
 with enough words is hashed; so a repeated passage of twice that many words is covered from its first to its last unit,
 wherever it stands. The hashes of all documents meet; the first occurrence of each (smallest document, then place)
 stays, and the units of every other are removed. What is left of a text stays as it was, byte for byte.
@@ -14,6 +15,7 @@ rows; other columns are kept by remove_repeats().
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,16 +32,39 @@ _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _TOKEN = re.compile(r"\S+")
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Where the chunks of a sentence start: at its first word, and at the least hash of two neighbouring words (the last
+    of equals) in every window of UNIT_WORDS. So no chunk is longer, and only words within a window's reach matter."""
+    n = len(words)
+    if n <= UNIT_WORDS:
+        return [0] if n else []
+    crc = [zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) for w in words]
+    h = [((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) * 0xC2B2AE3D & 0xFFFFFFFF for a, b in zip(crc, [*crc[1:], 0])]  # noqa: B905
+    at, out = -1, [0]
+    while True:
+        # the next is the first word as low, while a window still holds the last one; else the least of the next window
+        low = h[at] if at >= 0 else -1
+        best, least = -1, 1 << 32
+        for q in range(at + 1, min(at + UNIT_WORDS + 1, n)):
+            if h[q] <= least:
+                best, least = q, h[q]
+                if least <= low and q < at + UNIT_WORDS:
+                    break
+        else:
+            if at + UNIT_WORDS >= n:
+                return out
+        at = best
+        if at:
+            out.append(at)
+
+
 def units(text: str) -> list[list[str]]:
     """The words of each unit."""
     out = []
     for sentence in _BREAK.split(text):
         words = sentence.split()
-        if len(words) <= UNIT_WORDS:
-            if words:
-                out.append(words)
-        else:
-            out += [words[i : i + UNIT_WORDS] for i in range(0, len(words), UNIT_WORDS)]
+        at = cuts(words)
+        out += [words[a:b] for a, b in zip(at, [*at[1:], len(words)])]  # noqa: B905
     return out
 
 
@@ -48,8 +73,8 @@ def places(text: str) -> list[tuple[int, int]]:
     out, at = [], 0
     for m in [*_BREAK.finditer(text), None]:
         end = m.start() if m else len(text)
-        tokens = [t.start() for t in _TOKEN.finditer(text, at, end)]
-        out += tokens[::UNIT_WORDS]
+        tokens = [t.span() for t in _TOKEN.finditer(text, at, end)]
+        out += [tokens[i][0] for i in cuts([text[a:b] for a, b in tokens])]
         at = m.end() if m else end
     return list(zip(out, [*out[1:], len(text)]))  # noqa: B905
 

@@ -62,3 +62,27 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_inside_long_sentences_are_cut_alike():
+    rnd = random.Random(12)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    for before, after in ((3, 7), (0, 5), (40, 41)):
+        passage = [word() for _ in range(500)]
+        texts = [" ".join([*(word() for _ in range(k)), *passage, *(word() for _ in range(30))]) for k in (before, after)]
+        assert all(len(u) <= S.UNIT_WORDS for t in texts for u in S.units(t))
+        first = {h for h, *_ in S.spans(texts[0])}
+        us = S.units(texts[1])
+        gone = {u for h, s, e in S.spans(texts[1]) if h in first for u in range(s, e)}
+        left = [w for i, u in enumerate(us) if i not in gone for w in u]
+        assert len(set(left) & set(passage)) <= 60
+        assert sum(len(us[i]) for i in gone) >= 500 - 2 * 24
+
+
+def test_chunks_are_bounded():
+    rnd = random.Random(2)
+    for n in (1, 12, 13, 14, 25, 200):
+        for words in ([f"w{rnd.randrange(60)}" for _ in range(n)], ["one"] * n):
+            at = S.cuts(words)
+            assert at[0] == 0 and at == sorted(set(at))
+            assert max(b - a for a, b in zip(at, [*at[1:], n])) <= S.UNIT_WORDS

@@ -5,9 +5,10 @@ its first tokens, variable fields as wildcards. In a leaf the distinct lines are
 template it agrees with in most positions, if these are enough, and positions that differ become wildcards; else it
 opens a template. A template that stands in enough documents is dropped from all of them.
 
-Copies of a whole document are no evidence of a template: a document most of whose words stand in recurring lines casts
-no vote. So the lines that copies share with nothing but their copies stay (near-duplicate removal deals with those),
-while a recurring line goes from copies too.
+Copies of a whole document are no evidence of a template: documents most of whose words stand in recurring lines have one
+vote for each group of near copies (simhash.near_pairs) among them. So the lines that copies share with nothing but their
+copies stay (near-duplicate removal deals with those), while a recurring line goes from copies too, and from pages that
+have little else but are no copies of one another.
 
 Only leaves with enough lines are looked into, each of them whole, however full it is: a line is compared with the
 templates that an index of runs of tokens finds, and no other template can agree with it in enough positions. Lines of fewer tokens than a minimum are left alone, as short
@@ -31,12 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.batches import few_rows, texts_of
+from ledgerloom.llm.simhash import near_pairs
+from ledgerloom.operators.components import connected_components
 from ledgerloom.operators.ranking import ranked
 from ledgerloom.plans.stash import SMALL_ROWS, small, stash
 
 #: Leading tokens of a leaf; share of positions that must agree; documents of a recurring template; tokens of a line.
 LEADING, AGREE, DOCUMENTS, TOKENS = 2, 0.7, 10, 3
-#: Share of its words in recurring lines beyond which a document has no vote.
+#: Share of its words in recurring lines beyond which a document shares its vote with its near copies.
 COPIED = 0.5
 #: Lines of a leaf that are compared with one another: all. A finite number cuts fuller leaves into runs, and templates
 #: across them are lost.
@@ -190,17 +193,30 @@ def recurring(docs: DataFrame, documents: int = DOCUMENTS) -> tuple[DataFrame, D
     group = F.when(F.col("deep"), F.xxhash64("leaf", "next")).otherwise(F.col("leaf"))
     texts = _line_texts(docs).join(small(full), "leaf").select(group.alias("g"), "mask", "line").dropDuplicates(["mask"])
     grown = stash(_grown(_runs(texts)), "templates")
-    named = stash(lines.join(small(grown), "mask", "left").select("k", "mask", "words", "total", F.coalesce("template", "mask").alias("t")), "named")
+    named = stash(lines.join(small(grown), "mask", "left").select("k", "mask", "words", "total", F.coalesce("template", "mask").alias("t")).withColumn("voter", F.col("k")), "named")
 
     def often(rows: DataFrame) -> DataFrame:
-        return stash(rows.groupBy("t").agg(F.count_distinct("k").alias("n")).where(F.col("n") >= documents).select("t"), "often")
+        return stash(rows.groupBy("t").agg(F.count_distinct("voter").alias("n")).where(F.col("n") >= documents).select("t"), "often")
 
     rows = stash(named.join(small(often(named)), "t"), "recurring")
-    copies = rows.groupBy("k").agg(F.sum("words").alias("w"), F.max("total").alias("total")).where(F.col("w") > COPIED * F.col("total")).select("k")
-    voted = often(rows.join(small(stash(copies, "copies")), "k", "left_anti"))
+    full = rows.groupBy("k").agg(F.sum("words").alias("w"), F.max("total").alias("total")).where(F.col("w") > COPIED * F.col("total")).select("k")
+    copies = _copies(docs, stash(full, "full"))
+    voted = often(rows if copies is None else rows.drop("voter").join(small(copies), "k", "left").withColumn("voter", F.coalesce("voter", "k")))
     return stash(rows.join(small(voted), "t", "left_semi").select("mask").distinct(), "dropped"), rows
 
 
+def _copies(docs: DataFrame, full: DataFrame) -> DataFrame | None:
+    """docs: (k, text), full: (k). (k, voter): the documents of full that have near copies among them; voter names the
+    group."""
+    if full.isEmpty():
+        return None
+    own = docs.join(small(full), "k", "left_semi").select("k", F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("h", F.xxhash64("text"))
+    first = stash(own.groupBy("k").agg(F.min("h").alias("h")), "texts")
+    near = stash(connected_components(near_pairs(own.select("h", "text"))).withColumnRenamed("node", "h"), "copies")
+    return stash(first.join(small(near), "h", "left").select("k", F.coalesce("component", "h").alias("voter")), "voters")
+
+
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, set_lines: int = SMALL_ROWS) -> DataFrame:
     """The documents in their own columns, the text without recurring lines, and __lines and __dropped (line numbers from 0).
 

@@ -110,3 +110,13 @@ def test_the_index_finds_every_template(monkeypatch):
 
 def test_empty(spark):
     assert T.drop_templates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_boilerplate_of_short_pages_goes(spark):
+    """Pages that are mostly one footer are no copies of one another; true copies have one vote."""
+    rnd = random.Random(8)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    footer, family = words(60), [words(50) for _ in range(2)]
+    rows = [(i, f"{words(40)}\n{footer}") for i in range(40)] + [(100 + i, "\n".join([*family, words(3)])) for i in range(20)]
+    got = {r.doc_id: r["__dropped"] for r in T.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: [1] if d < 100 else [] for d, _ in rows}

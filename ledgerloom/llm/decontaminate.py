@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.batches import few_rows, texts_of
+from ledgerloom.plans.stash import stash
 
 WINDOW = 10
 #: Windows of items in one broadcast set.
@@ -151,10 +152,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", te
     """The documents without benchmark text, in their own columns.
 
     mode "spans": the words of every occurrence, and what stands between them, are cut out of the text; a text without
-    hits stays as it is, byte for byte. mode "documents": documents with a hit go. One scan for each block of items; a
-    cut text can't join up to a new hit, because each cut leaves a line break and another scan follows until none is found.
+    hits stays as it is, byte for byte. mode "documents": documents with a hit go. Of several blocks of items, the hits on
+    the same text are united before it is cut. What a cut joins up may be a hit again, so cut texts are looked at anew
+    until none is found.
     """
-    for block in _blocks(benchmark, item_col, item_text_col, size, most):
+    blocks = _blocks(benchmark, item_col, item_text_col, size, most)
+    if len(blocks) > 1:
+        return _by_blocks(docs, blocks, mode, text_col, size)
+    for block in blocks:
         known = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.item_id, words_of(r.text)) for r in block.collect()], size))
 
         def cleaned(text: str | None, known=known) -> str | None:
@@ -182,14 +187,58 @@ def _cut(text: str | None, known: WindowSet, mode: str) -> str | None:
             return text
         if mode == "documents":
             return None
-        raw = text.encode()
-        places = [m.span() for m in _SPAN.finditer(raw.lower())]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
-        out, at = [], 0
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            out.append(raw[at : places[a][0]])
-            at = places[b - 1][1]
-        text = b"\n".join([*out, raw[at:]]).decode()
+        text = _without(text, list(zip(edges[::2], edges[1::2], strict=True)))
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of these [start, end) runs, which are apart and in order, and what is between them."""
+    raw = text.encode()
+    places = [m.span() for m in _SPAN.finditer(raw.lower())]
+    out, at = [], 0
+    for a, b in spans:
+        out.append(raw[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"\n".join([*out, raw[at:]]).decode()
+
+
+def _without_all(text: str, runs: list[list[int]]) -> str:
+    """_without() for the union of the blocks' runs, given as flat lists."""
+    spans: list[list[int]] = []
+    for a, b in sorted((r[i], r[i + 1]) for r in runs for i in range(0, len(r), 2)):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    return _without(text, [(a, b) for a, b in spans])
+
+
+def _by_blocks(docs: DataFrame, blocks: list[DataFrame], mode: str, text_col: str, size: int) -> DataFrame:
+    """decontaminate() by several blocks of items. Equal texts are looked at once."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("h"), F.crc32(text).alias("c"))
+    now = docs.select(key.alias("row_key"), text.alias("text")).dropDuplicates(["row_key"])
+    cut, done = F.udf(_without_all, "string"), None
+    while True:
+        union = None
+        for b in blocks:
+            part = _scan(now, b, size).where(F.size("runs") > 0).select("row_key", "runs")
+            union = part if union is None else union.unionByName(part)
+        hits = stash(union.groupBy("row_key").agg(F.collect_list("runs").alias("runs")), "hits")
+        if mode == "documents":
+            return docs.withColumn("__key", key).join(hits.select(F.col("row_key").alias("__key")), "__key", "left_anti").select(*docs.columns)
+        if done is not None:
+            clean = now.join(hits, "row_key", "left_anti")
+            done = clean if done is False else done.unionByName(clean)
+        if hits.isEmpty():
+            break
+        now = stash(now.join(hits, "row_key").select("row_key", cut("text", "runs").alias("text")), "cut")
+        done = False if done is None else done
+    if not done:
+        return docs
+    cleaned = stash(done.select(F.col("row_key").alias("__key"), F.col("text").alias("__cut")), "cleaned")
+    out = docs.withColumn("__key", key).join(cleaned, "__key", "left")
+    return out.withColumn(text_col, F.coalesce("__cut", F.col(text_col))).select(*docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,20 @@ def test_empty_tables(spark):
     assert [tuple(r)[:4] for r in D.contamination(docs, bench).collect()] == [(1, 2, 0, 0)]
     assert D.contamination(docs.limit(0), bench).count() == 0
     assert D.decontaminate(docs, bench).collect() == docs.collect()
+
+
+def test_blocks_cut_as_one(spark):
+    rnd = random.Random(3)
+    short = [f"zip zap{k}" for k in range(6)]
+    passage = []
+    for k in range(20):
+        passage += [f"p{rnd.randrange(999)}" for _ in range(4)] + short[k % 6].split()
+    items = [*((f"s{k}", s) for k, s in enumerate(short)), ("long", " ".join(passage))]
+    docs = [(1, "before it " + " ".join(passage) + " after it"), (2, "clean words"), (3, None), (4, "a zip zip zap1 zap1 b"), (5, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for mode in ("spans", "documents"):
+        one, more = (sorted(map(tuple, D.decontaminate(df, bench, mode, most=m).collect())) for m in (D.SET_WINDOWS, 10))
+        assert one == more
+        assert mode == "documents" or more[0] == (1, "before it \n after it")
+        assert mode == "spans" or [i for i, _ in more] == [2, 3, 5]

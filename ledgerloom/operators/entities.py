@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,16 +82,17 @@ def sample_scope(resolved: DataFrame, families: DataFrame, doc: str = "doc_id",
     return out.withColumn("scope", scope).drop("__prefix", "__known")
 
 
-def inherit(anchors: DataFrame, references: DataFrame, doc: str = "doc_id", ref: str = "ref", business: str = "business_id", most_rounds: int = 100) -> DataFrame:
+def inherit(anchors: DataFrame, references: DataFrame, doc: str = "doc_id", ref: str = "ref", business: str = "business_id", most_rounds: int | None = None) -> DataFrame:
     """(doc, business, status) of every document that has a reference: MATCHED at once (anchors), INHERITED or CONFLICT.
 
     In each round a document without a business takes that of the documents it shares an exact reference with, if they
-    have one business; if they have more, it is in conflict for good. Rounds go on until nothing changes. A reference's
+    have one business; if they have more, it is in conflict for good. Rounds go on until nothing changes; if there are
+    more than most_rounds, it raises. A reference's
     owners are kept as their least and largest, so a hot reference is two values, not a list.
     """
     refs = stash(references.select(F.col(doc).alias("d"), F.col(ref).alias("r")).where("r IS NOT NULL").distinct(), "refs")
     known = stash(anchors.select(F.col(doc).alias("d"), F.col(business).alias("b"), F.lit("MATCHED").alias("s")), "known")
-    for _ in range(most_rounds):
+    for at in itertools.count():
         owners = stash(refs.join(known.where("b IS NOT NULL"), "d").groupBy("r").agg(F.min("b").alias("lo"), F.max("b").alias("hi")), "owners")
         open_refs = refs.join(known, "d", "left_anti")
         new = open_refs.join(owners, "r").groupBy("d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -97,6 +100,8 @@ def inherit(anchors: DataFrame, references: DataFrame, doc: str = "doc_id", ref:
         new = stash(new.select("d", F.when(one, F.col("lo")).alias("b"), F.when(one, "INHERITED").otherwise("CONFLICT").alias("s")), "inherited")
         if new.isEmpty():
             break
+        if most_rounds is not None and at >= most_rounds:
+            raise RuntimeError(f"references go on after {most_rounds} rounds")
         known = stash(known.unionByName(new), "known")
     return known.select(F.col("d").alias(doc), F.col("b").alias(business), F.col("s").alias("status"))
 

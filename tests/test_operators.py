@@ -341,3 +341,11 @@ def test_streamed_uploads(spark, tmp_path):
         feeds.follow_uploads(stream, f"{tmp_path}/store", f"{tmp_path}/at")
         last = spark.read.parquet(f"{tmp_path}/store/v{int(name) - 1}")
     assert {(r.file_name, r.content) for r in last.collect()} == {("a", "x"), ("b", "z"), ("c", "w")}
+
+
+def test_inheritance_does_not_stop_silently(spark):
+    refs = spark.createDataFrame([(i, f"r{j}") for i in range(6) for j in (i, i + 1)], "doc_id long, ref string")
+    anchors = spark.createDataFrame([(0, "B")], "doc_id long, business_id string")
+    with pytest.raises(RuntimeError):
+        entities.inherit(anchors, refs, most_rounds=2)
+    assert entities.inherit(anchors, refs, most_rounds=5).count() == 6

@@ -11,9 +11,9 @@ their own; an empty table gives no pieces; other columns are not read.
 
 from __future__ import annotations
 
-import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -27,11 +27,11 @@ from ledgerloom.plans.stash import stash
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 WINDOW = 2048
-#: Entries of a worker's table of known chunks; it starts afresh beyond. No effect on results.
-KNOWN_CHUNKS = 100_000
+#: Entries of the young half of a worker's table of known chunks, and of words. No effect on results.
+YOUNG = 200_000
 
 # Strings that the plain way below doesn't treat as the tokenizer does; texts that hold them go to the tokenizer whole.
-_ODD = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|[\x1c-\x1f\x85]")
+_ODD = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 # The vocabulary's own pattern for words, as its file states it.
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -43,42 +43,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
-class Encoder(dict):
+class Known(dict):
+    """A table of bounded size: what is asked for is young; when the young are too many they grow old, and the old of
+    before go. So what is in use stays, however many keys pass by."""
+
+    def __init__(self, make: Callable[[str], bytes], young: int) -> None:
+        super().__init__()
+        self.make, self.young, self.old = make, young, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.young:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
+
+
+class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers; the same ids as the tokenizer's own encode().
 
     The vocabulary's words never cross white space, so the ids of a text are those of its chunks between white space,
     in order. Each distinct chunk is put through the tokenizer's model once and then looked up.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, young: int = YOUNG) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.model, self.word, self.letters, self.words = self.whole.model, regex.compile(_WORD), _byte_letters(), {}
+        self.model, self.word, self.letters = self.whole.model, regex.compile(_WORD), _byte_letters()
+        self.chunks, self.words = Known(self._of_chunk, young), Known(self._of_word, young // 4)
 
     def _of_word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-        return ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = b"".join([self._of_word(w) for w in self.word.findall(chunk)])
-        return ids
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def forget(self) -> None:
-        self.clear()
-        self.words.clear()
+    def _of_chunk(self, chunk: str) -> bytes:
+        # letters alone are one word, and known as a chunk
+        return self._of_word(chunk) if chunk.isascii() and chunk.isalpha() else b"".join([self.words[w] for w in self.word.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if any(odd in text for odd in _ODD):
             return b"".join([i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids])
-        if len(self) > KNOWN_CHUNKS:
-            self.forget()
         # lower() knows a final sigma, the tokenizer doesn't
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}

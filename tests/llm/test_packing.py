@@ -29,6 +29,21 @@ def test_ids_are_the_tokenizers(spark):
         assert enc.encode(text or "") == struct.pack(f"<{len(ids(text)) - 1}I", *ids(text)[:-1])
 
 
+def test_a_small_table_gives_the_same_ids():
+    enc = P.Encoder(P.vocabulary_path(), 100)
+    for _, text in sample():
+        assert enc.encode(text or "") == struct.pack(f"<{len(ids(text)) - 1}I", *ids(text)[:-1])
+        assert max(len(enc.chunks), len(enc.chunks.old)) <= 100 and max(len(enc.words), len(enc.words.old)) <= 25
+
+
+def test_what_is_in_use_stays_known():
+    made = []
+    known = P.Known(lambda k: made.append(k) or k.encode(), 10)
+    for i in range(1000):
+        assert known["often"] == b"often" and known[str(i)] == str(i).encode()
+    assert made.count("often") == 1
+
+
 def test_pieces(spark, tmp_path):
     rows = sample()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int").repartition(5)

@@ -44,6 +44,11 @@ def parse_number(c: Column) -> Column:
     """
     t = F.regexp_extract(F.regexp_replace(ascii_digits(c), r"\s", ""), r"-?[0-9][0-9.,]*", 0)
     t = F.regexp_replace(t, r"[.,]+$", "")
+    # the lambda's argument is worked out once, not for each case
+    return F.get(F.transform(F.array(t), _value_of), F.lit(0))
+
+
+def _value_of(t: Column) -> Column:
     dots, commas = (F.length(t) - F.length(F.replace(t, F.lit(m))) for m in ".,")
     last_dot, last_comma = (F.length(t) - F.instr(F.reverse(t), m) for m in ".,")
     plain = (

@@ -100,3 +100,61 @@ def allocation_totals(rows: DataFrame, group: str = "business_id") -> DataFrame:
     worst = F.max(F.when(F.col("light") == "RED", 3).when(F.col("light") == "YELLOW", 2).otherwise(1))
     sums = [F.sum(c).alias(c) for c in ("ordered_qty", "received_qty", "invoiced_qty", "order_amount", "received_amount", "invoiced_amount")]
     return rows.groupBy(group).agg(*sums, F.count("*").alias("n_lines"), worst.alias("w")).withColumn("light", F.element_at(F.array(F.lit("GREEN"), F.lit("YELLOW"), F.lit("RED")), F.col("w"))).drop("w")
+
+
+def bind_by_evidence(source: DataFrame, orders: DataFrame, group: str = "business_id") -> DataFrame:
+    """The order lines that each source line may stand for, by item code, then model, then goods name.
+
+    source: (group, source_id, item_code, model, goods), keys normalised, null where unknown; orders: (group, order_line_id
+    and the same keys). The first key that the source line has and order lines share decides: one such line is the match,
+    several are a tie. An item code or model that no order line shares ends the search, if any order line has one at all.
+    Without any shared key a sole order line is taken.
+    Adds order_line_ids (all candidates, sorted) and basis: ITEM_CODE, MODEL, GOODS, SOLE_LINE, TIED, STRONG_ITEM_CODE_CONFLICT,
+    STRONG_MODEL_CONFLICT or UNBOUND. Lines are compared within their group only.
+    """
+    keys = ("item_code", "model", "goods")
+    o = orders.select(group, "order_line_id", *(F.col(k).alias(f"o_{k}") for k in keys))
+    met = source.join(o, group, "left")
+    there = F.col("order_line_id").isNotNull()
+    hit = {k: there & (F.col(k) == F.col(f"o_{k}")) for k in keys}
+    got = met.groupBy(*source.columns).agg(
+        *(F.array_sort(F.collect_list(F.when(hit[k], F.col("order_line_id")))).alias(f"h_{k}") for k in keys),
+        *(F.count_if(there & F.col(f"o_{k}").isNotNull()).alias(f"n_{k}") for k in keys[:2]),
+        F.count_if(there).alias("n"), F.min("order_line_id").alias("least"),
+    )
+    none = F.array().cast(got.schema["h_goods"].dataType)
+    found, strong = {k: F.size(f"h_{k}") > 0 for k in keys}, {k: F.col(k).isNotNull() & (F.col(f"n_{k}") > 0) for k in keys[:2]}
+    sole = F.col("n") == 1
+    pick = lambda of, clash, alone, nothing: F.when(found["item_code"], of("item_code")).when(strong["item_code"], clash("item_code")).when(found["model"], of("model")).when(strong["model"], clash("model")).when(found["goods"], of("goods")).when(sole, alone).otherwise(nothing)
+    ids = pick(lambda k: F.col(f"h_{k}"), lambda _: none, F.array("least"), none)
+    basis = pick(lambda k: F.when(F.size(f"h_{k}") > 1, "TIED").otherwise(F.lit(k.upper())), lambda k: F.lit(f"STRONG_{k.upper()}_CONFLICT"), F.lit("SOLE_LINE"), F.lit("UNBOUND"))
+    return got.select(*source.columns, ids.alias("order_line_ids"), basis.alias("basis"))
+
+
+def line_evidence(bound: DataFrame, orders: DataFrame, group: str = "business_id") -> DataFrame:
+    """orders with received and invoiced (the quantities of the lines bound to them alone), quantity_result and reasons.
+
+    A tied line, a role without lines and a missing quantity leave the result at REVIEW; else it is PASS where ordered,
+    received and invoiced quantities are equal, and FAIL with what differs.
+    bound: as bind_by_evidence() gives it, with role (receipt or invoice) and quantity; orders: (group, order_line_id,
+    quantity).
+    """
+    each = bound.select(group, F.explode("order_line_ids").alias("order_line_id"), "role", F.col("quantity").alias("q"), (F.col("basis") == "TIED").alias("tied"))
+    own = lambda role: (F.col("role") == role) & ~F.col("tied")
+    total = lambda role: F.when(F.count_if(own(role) & F.col("q").isNull()) == 0, F.sum(F.when(own(role), F.col("q"))))
+    got = each.groupBy(group, "order_line_id").agg(
+        total("receipt").alias("received"), total("invoice").alias("invoiced"), F.bool_or("tied").alias("ambiguous"),
+        F.count_if(own("receipt")).alias("receipts"), F.count_if(own("invoice")).alias("invoices"),
+    )
+    out = orders.join(got, [group, "order_line_id"], "left")
+    n, r, i = F.col("quantity"), F.col("received"), F.col("invoiced")
+    roles = (F.coalesce("receipts", F.lit(0)) == 0) | (F.coalesce("invoices", F.lit(0)) == 0)
+    missing = n.isNull() | r.isNull() | i.isNull()
+    differ = F.filter(
+        F.array(F.when((r < n) | (i < n), "QUANTITY_SHORTAGE"), F.when((r > n) | (i > n), "QUANTITY_OVERAGE"), F.when(r != i, "RECEIPT_INVOICE_QUANTITY_MISMATCH")),
+        lambda x: x.isNotNull(),
+    )
+    tied = F.coalesce("ambiguous", F.lit(False))
+    reasons = F.when(tied, F.array(F.lit("AMBIGUOUS_LINE_ASSIGNMENT"))).when(roles, F.array(F.lit("LINE_ROLE_EVIDENCE_MISSING"))).when(missing, F.array(F.lit("LINE_QUANTITY_EVIDENCE_MISSING"))).otherwise(differ)
+    result = F.when(tied | roles | missing, "REVIEW").when(F.size(reasons) == 0, "PASS").otherwise("FAIL")
+    return out.select(*orders.columns, "received", "invoiced", result.alias("quantity_result"), reasons.alias("reasons"))

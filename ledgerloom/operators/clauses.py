@@ -14,6 +14,7 @@ DIMENSIONS = {"price": "交易对价", "payment": "支付条款", "performance":
 RULES: list[dict] = [
     {"code": "CONSIDERATION_FORMULA_AMBIGUOUS", "dim": "price", "all": ["随行就市"], "unless": ["市场指数|价格指数|基准指数|调整公式|计算公式"]},
     {"code": "VARIABLE_CONSIDERATION_UNRESOLVED", "dim": "price", "any": ["(原材料|材料成本|成本).{0,30}(协商|商议).{0,20}(调价|调整|价格)", "协商.{0,10}调整.{0,10}产品价格"], "unless": ["市场指数|价格指数|基准指数|调整公式|计算公式|变动阈值"]},
+    # the windows reach 28 characters before the word, whatever the length of the negation
     {"code": "REBATE_TERM_AMBIGUOUS", "dim": "price", "all": ["返利"], "unless": ["(不包含|不涉及|不承担|不存在|不属于).{0,25}返利|(不含|不得|无需|不另).{0,26}返利|(无|未).{0,27}返利"], "unless_both": (["返利.{0,80}[0-9]+(\\.[0-9]+)?\\s*%.{0,80}(采购|销售|回款|订单)", "[0-9]+(\\.[0-9]+)?\\s*%.{0,40}返利"], ["返利.{0,60}(兑现|抵扣|现金|结算方式)"])},
     {"code": "UNILATERAL_PRICE_ADJUSTMENT", "dim": "price", "any": ["(开票前|开具发票前).{0,40}(有权|可以|可).{0,20}(调整|变更).{0,20}(价格|价款)", "未提出异议.{0,12}视为接受"]},
     {"code": "PAYMENT_DUE_DATE_UNDEFINED", "dim": "payment", "all": ["货到付款"], "unless": ["(货到|到货|签收|验收).{0,30}[0-9]+\\s*(个)?(自然|日历|工作)?[日天]", "[0-9]+\\s*(个)?(自然|日历|工作)?[日天].{0,20}(付款|支付|结清)"]},
@@ -30,22 +31,42 @@ RULES: list[dict] = [
     {"code": "DAP_DELIVERY_PLACE_UNDEFINED", "dim": "transfer", "all": ["\\bDAP\\b", "area designated by the Buyer|买方指定区域|买方指定地点|Buyer.?s (site|location)|买方地点"], "unless_both": (["DAP.{0,80}([0-9]+|Warehouse|仓库|Industrial|Road|Street|路|号)"], ["Incoterms|置于买方处置|placed at the Buyer"])},
 ]
 
+#: Words without one of which a rule cannot hold; in lower case. They are looked for before any pattern.
+NEEDS = {
+    "CONSIDERATION_FORMULA_AMBIGUOUS": ["随行就市"],
+    "VARIABLE_CONSIDERATION_UNRESOLVED": ["协商", "商议"],
+    "REBATE_TERM_AMBIGUOUS": ["返利"],
+    "UNILATERAL_PRICE_ADJUSTMENT": ["开票前", "开具发票前", "未提出异议"],
+    "PAYMENT_DUE_DATE_UNDEFINED": ["货到付款"],
+    "PAYMENT_PERIOD_AMBIGUOUS": ["及时", "顺延"],
+    "INSTALLMENT_TERM_UNDEFINED": ["首款", "预付款", "定金", "分期", "首期", "尾款"],
+    "DP_TENOR_UNDEFINED": ["/", "dp", "付款交单"],
+    "PERFORMANCE_OBLIGATION_BOUNDARY_UNCLEAR": ["installation", "commissioning", "familiarization", "培训", "安装", "调试"],
+    "SOFTWARE_SERVICE_BOUNDARY_UNCLEAR": ["may submit requests concerning updates", "technical support", "功能升级", "持续"],
+    "TOOLING_AND_GOODS_BOUNDARY_UNCLEAR": ["tooling", "模具"],
+    "STAND_READY_SERVICE_UNCLEAR": ["驻场", "待命", "专项改善", "stand"],
+    "CONTROL_TRANSFER_TRIGGER_CONFLICT": ["fob"],
+    "CIF_CONTROL_POINT_AMBIGUOUS": ["cif"],
+    "DAP_DELIVERY_PLACE_UNDEFINED": ["dap"],
+}
+
 
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def fires(rule: dict, text: Column) -> Column:
-    """Whether a rule of RULES holds for a text."""
+def fires(rule: dict, text: Column, low: Column | None = None) -> Column:
+    """Whether a rule of RULES holds for a text; low is the text in lower case."""
     has = lambda p: text.rlike(f"(?i){p}")
     hit = lambda p: has(p[0]) & ~has(p[1]) if isinstance(p, tuple) else has(p)
-    out = F.lit(True)
+    low = F.lower(text) if low is None else low
+    out = _any([F.contains(low, F.lit(w)) for w in NEEDS[rule["code"]]]) if rule["code"] in NEEDS else F.lit(True)
     for p in rule.get("all", ()):
         out = out & has(p)
     if "any" in rule:
         out = out & _any([hit(p) for p in rule["any"]])
     if "longer" in rule:
-        out = out & (F.length(F.regexp_replace(text, r"\s+", "")) >= rule["longer"])
+        out = out & (F.length(text) >= rule["longer"]) & (F.length(F.translate(text, " \t\n\x0b\f\r", "")) >= rule["longer"])
     for p in rule.get("unless", ()):
         out = out & ~has(p)
     if "unless_both" in rule:
@@ -61,8 +82,10 @@ def fires(rule: dict, text: Column) -> Column:
 def clause_issues(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, place, issue_code, dimension): the rules that hold for each text, in their order. One pass, no shuffle."""
     t = F.coalesce(F.col(text), F.lit(""))
-    found = F.array_compact(F.array(*(F.when(fires(r, t), F.struct(F.lit(i).alias("place"), F.lit(r["code"]).alias("issue_code"), F.lit(DIMENSIONS[r["dim"]]).alias("dimension"))) for i, r in enumerate(RULES))))
-    return docs.select(doc, F.explode(found).alias("i")).select(doc, "i.place", "i.issue_code", "i.dimension")
+    found = lambda s: F.array_compact(F.array(*(F.when(fires(r, s["t"], s["low"]), F.struct(F.lit(i).alias("place"), F.lit(r["code"]).alias("issue_code"), F.lit(DIMENSIONS[r["dim"]]).alias("dimension"))) for i, r in enumerate(RULES))))
+    # the lambda's argument is worked out once, not for each rule
+    once = F.get(F.transform(F.array(F.struct(t.alias("t"), F.lower(t).alias("low"))), found), F.lit(0))
+    return docs.select(doc, F.explode(once).alias("i")).select(doc, "i.place", "i.issue_code", "i.dimension")
 
 
 def dimension_statuses(docs: DataFrame, issues: DataFrame, has_contract: Column, doc: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.ids import compact_id, normalize_id
 from ledgerloom.operators.components import connected_components
-from ledgerloom.plans.stash import stash
+from ledgerloom.plans.stash import small, stash
 
 #: Parts of an identifier that may stand apart in a text.
 PARTS = 4
@@ -76,8 +76,8 @@ def resolve(docs: DataFrame, index: DataFrame, doc: str = "doc_id", exact: str =
 def sample_scope(resolved: DataFrame, families: DataFrame, doc: str = "doc_id", prefix: str = "prefix", business: str = "business_id") -> DataFrame:
     """Adds scope to resolved documents: IN_SAMPLE, MIXED_SCOPE (evidence for several), OUT_OF_SAMPLE (unresolved, but of a
     family of identifiers that the sample has), UNRESOLVED. families: (prefix)."""
-    known = families.select(F.col(prefix).alias("__prefix")).distinct().withColumn("__known", F.lit(True))
-    out = resolved.join(F.broadcast(known), F.col(prefix) == F.col("__prefix"), "left")
+    known = stash(families.select(F.col(prefix).alias("__prefix")).distinct().withColumn("__known", F.lit(True)), "families")
+    out = resolved.join(small(known), F.col(prefix) == F.col("__prefix"), "left")
     scope = F.when(F.col("status") == "MATCHED", "IN_SAMPLE").when(F.col("status").isin("CONFLICT", "AMBIGUOUS_ALIAS"), "MIXED_SCOPE").when(F.col("__known"), "OUT_OF_SAMPLE").otherwise("UNRESOLVED")
     return out.withColumn("scope", scope).drop("__prefix", "__known")
 
@@ -106,12 +106,35 @@ def inherit(anchors: DataFrame, references: DataFrame, doc: str = "doc_id", ref:
     return known.select(F.col("d").alias(doc), F.col("b").alias(business), F.col("s").alias("status"))
 
 
-def business_groups(keys: DataFrame, doc: str = "doc_id", key: str = "key") -> DataFrame:
+def key_merges(keys: DataFrame, key: str = "key", job: str | None = None) -> DataFrame:
+    """(src, dst): pairs of normalised keys that name one business: a key and those of its family that it is a cut-off
+    beginning of (dashes aside), and, where a job has one order number (SO) and one contract number (HT), these two.
+
+    A key meets the others by its beginnings, a few for each, so no two keys are compared that share none.
+    """
+    n = normalize_id(F.col(key))
+    own = stash(keys.select(n.alias("key"), compact_id(F.col(key)).alias("id"), *([F.col(job).alias("job")] if job else [])).where("id <> ''"), "merge_keys")
+    ids = own.select("key", "id").distinct()
+    starts = ids.where(F.length("id") > 2).select(F.col("key").alias("dst"), F.explode(F.sequence(F.lit(2), F.length("id") - 1)).alias("n"), "id")
+    cut_off = starts.select("dst", F.left("id", F.col("n")).alias("id")).join(ids.withColumnRenamed("key", "src"), "id").select("src", "dst")
+    if job is None:
+        return cut_off
+    kind = F.when(F.startswith("id", F.lit("SO")), "so").when(F.contains("id", F.lit("HT")), "ht")
+    sole = own.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("job", "kind").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    sole = sole.where("a = b").groupBy("job").agg(F.min(F.when(F.col("kind") == "so", F.col("a"))).alias("src"), F.min(F.when(F.col("kind") == "ht", F.col("a"))).alias("dst"))
+    return cut_off.unionByName(sole.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst"))
+
+
+def business_groups(keys: DataFrame, doc: str = "doc_id", key: str = "key", merges: DataFrame | None = None) -> DataFrame:
     """(doc, group): documents that share keys, directly or through others, are one group. It is named by its preferred
-    key: order numbers (SO) before others, then the longest, then the largest."""
+    key: order numbers (SO) before others, then the longest, then the largest. merges: further pairs of keys that are one
+    (key_merges())."""
     own = keys.select(F.concat(F.lit("d:"), F.col(doc).cast("string")).alias("src"), F.concat(F.lit("k:"), normalize_id(F.col(key))).alias("dst"), F.col(doc).alias("doc"), normalize_id(F.col(key)).alias("key")).where("key <> ''")
     own = stash(own.distinct(), "keys")
-    nodes = stash(connected_components(own), "groups")
+    edges = own.select("src", "dst")
+    if merges is not None:
+        edges = stash(edges.unionByName(merges.select(F.concat(F.lit("k:"), "src").alias("src"), F.concat(F.lit("k:"), "dst").alias("dst"))), "merged_keys")
+    nodes = stash(connected_components(edges), "groups")
     named = own.join(nodes, own["src"] == nodes["node"]).select("doc", "key", "component")
     best = F.struct(F.startswith("key", F.lit("SO")), F.length("key"), "key")
     names = stash(named.groupBy("component").agg(F.max_by("key", best).alias("group")), "names")

@@ -45,9 +45,10 @@ def resolve_concepts(nodes: DataFrame, chain: str = "chain_id", field: str = "fi
     is a few values. Chains without values of a concept have no row for it.
     """
     rows = [(f, c, k, False) for c, (fields, k) in CONCEPTS.items() for f in fields] + [(f, c, "text", True) for c, fields in TAX_FIELDS.items() for f in fields]
-    known = F.create_map(*(x for f, c, k, t in rows for x in (F.lit(f), F.struct(F.lit(c).alias("concept"), F.lit(k).alias("kind"), F.lit(t).alias("tax")))))
-    own = nodes.select(F.col(chain).alias("chain"), known[F.col(field)].alias("c"), F.col(value).cast("string").alias("v"), F.coalesce(F.col(usable), F.lit(False)).alias("u")).where("c IS NOT NULL")
-    own = own.select("chain", "c.concept", "c.tax", "u", F.lower(F.trim("v")).alias("raw"), F.nullif(normalized(F.col("v"), F.col("c.kind")), F.lit("")).alias("n"))
+    # the fields above, whatever the input
+    known = F.broadcast(nodes.sparkSession.createDataFrame(rows, "field string, concept string, kind string, tax boolean"))
+    own = nodes.select(F.col(chain).alias("chain"), F.col(field).alias("field"), F.col(value).cast("string").alias("v"), F.coalesce(F.col(usable), F.lit(False)).alias("u")).join(known, "field")
+    own = own.select("chain", "concept", "tax", "u", F.lower(F.trim("v")).alias("raw"), F.nullif(normalized(F.col("v"), F.col("kind")), F.lit("")).alias("n"))
     use = F.col("u") & ~F.col("tax")
     if_ = lambda c: F.when(use, F.col(c))
     tax = F.when(F.col("u") & F.col("tax"), F.col("n"))

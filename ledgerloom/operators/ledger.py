@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ledgerloom.functions.ids import compact_id, normalize_id
 
@@ -35,6 +36,15 @@ def apply_overrides(matched: DataFrame, overrides: DataFrame, doc_id: str = "doc
     return out.withColumn("row", F.coalesce("__row", "row")).drop("__row")
 
 
+#: Items that may be required of every subject.
+MOST_REQUIRED = 1000
+
+
 def missing_required(subjects: DataFrame, present: DataFrame, required: DataFrame, subject: str, item: str) -> DataFrame:
-    """(subject, item) that are required but not present. required is a small list of items."""
-    return subjects.select(subject).distinct().crossJoin(F.broadcast(required.select(item))).join(present.select(subject, item).distinct(), [subject, item], "left_anti")
+    """(subject, item) that are required but not present. required is a short list of items, MOST_REQUIRED at the most."""
+    items = [r[0] for r in required.select(item).distinct().limit(MOST_REQUIRED + 1).collect()]
+    if len(items) > MOST_REQUIRED:
+        raise ValueError(f"more than {MOST_REQUIRED} required items")
+    kind = required.schema[item].dataType
+    wanted = subjects.select(subject).distinct().withColumn(item, F.explode(F.array(*(F.lit(i).cast(kind) for i in items)).cast(ArrayType(kind))))
+    return wanted.join(present.select(subject, item).distinct(), [subject, item], "left_anti")

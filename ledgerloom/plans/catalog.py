@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import chaining, grouping, queries, registry, retrieving, reviewing
+from ledgerloom.plans import chaining, grouping, importing, queries, registry, retrieving, reviewing
 
 QUERIES, ORACLE_SQL = registry.QUERIES, registry.ORACLE_SQL
 overview = queries.audit_overview
 
-__all__ = ["ORACLE_SQL", "QUERIES", "chaining", "grouping", "overview", "retrieving", "reviewing"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chaining", "grouping", "importing", "overview", "retrieving", "reviewing"]

@@ -297,14 +297,14 @@ def desk_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.desk_status(_desk(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT o_orderkey AS k, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n, CASE WHEN o_orderstatus = 'F' THEN 'FAIL' ELSE 'PASS' END AS s FROM orders WHERE o_orderkey % 7 = 0)
+@query("""WITH c AS (SELECT o_orderkey AS k, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n, CASE WHEN o_orderstatus = 'F' THEN 'FAIL' ELSE 'PASS' END AS s FROM orders)
 SELECT k AS business_id, CASE WHEN n = 0 THEN 'NO_DOCUMENTS' WHEN s = 'FAIL' AND k % 3 <> 0 THEN 'FAILED' WHEN k % 5 = 0 THEN 'NOT_CONCLUDED' END AS blocker, NOT (n = 0 OR (s = 'FAIL' AND k % 3 <> 0) OR k % 5 = 0) AS ready FROM c""")
 def export_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = C.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("business_id")).agg(F.count("*").alias("docs"))
     orders = C.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("business_id"), F.when(F.col("o_orderstatus") == "F", "FAIL").otherwise("PASS").alias("status"))
     k = F.col("business_id")
     chains = orders.join(lines, "business_id").withColumns({"released": k % 3 == 0, "concluded": k % 5 != 0})
-    return reviews.export_readiness(orders.where(k % 7 == 0), chains)
+    return reviews.export_readiness(orders, chains)
 
 
 @query("""SELECT k AS chain_id, unnest(CASE s WHEN 'fields' THEN ['fields', 'evidence', 'tests', 'conclusion', 'workbook'] WHEN 'tests' THEN ['tests', 'conclusion', 'workbook'] ELSE ['conclusion', 'workbook'] END) AS stage FROM (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'fields' WHEN 1 THEN 'tests' ELSE 'conclusion' END AS s FROM orders)""")

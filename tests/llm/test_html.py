@@ -1,17 +1,27 @@
 import itertools
 import random
+import time
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from ledgerloom.llm import html as H
+from tests.llm import pages
 
 
 def test_min_cut_is_minimal():
     rnd = random.Random(7)
-    for _ in range(200):
-        n = rnd.randrange(1, 8)
-        odds = [rnd.choice([-3, -1, -0.5, 0.5, 1, 4]) for _ in range(n)]
+    for _ in range(600):
+        n = rnd.randrange(1, 9)
+        odds = [rnd.choice([-3, -1, -0.5, 0, 0.5, 1, 4]) for _ in range(n)]
         edges = [(i, j, rnd.choice([0.3, 0.7, 2.0])) for i in range(n) for j in range(i) if rnd.random() < 0.5]
         cost = lambda x: sum(-o if o < 0 else 0 for o, k in zip(odds, x) if k) + sum(o for o, k in zip(odds, x) if o > 0 and not k) + sum(w for a, b, w in edges if x[a] != x[b])
-        assert abs(cost(H.min_cut(odds, edges)) - min(map(cost, itertools.product((False, True), repeat=n)))) < 1e-9
+        cut, costs = H.min_cut(odds, edges), {x: cost(x) for x in itertools.product((False, True), repeat=n)}
+        least = min(costs.values())
+        assert abs(cost(cut) - least) < 1e-9
+        # of all minimum cuts the one that keeps least
+        assert cut == [all(x[i] for x, c in costs.items() if c - least < 1e-9) for i in range(n)]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -40,3 +50,56 @@ def test_extract_keeps_rows(spark):
     rows = H.extract(df).collect()
     assert sorted(len(r.text) for r in rows) == [0, len(H.main_text(PAGE)), len(H.main_text(PAGE))]
     assert H.extract(df.limit(0)).count() == 0
+
+
+LONG = "This is a paragraph that says a good deal about its subject, so that nobody would take it for anything else. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><div><p>{}</p></div></body>",
+        "<body class='no-banner'><article><p>{}</p></article></body>",
+        "<body><article class='post share-enabled'><p>{}</p></article></body>",
+        "<body><form id='aspnetForm'><div><p>{}</p></div></form></body>",
+        "<body><form id='aspnetForm'><nav><a href='/'>Home</a></nav><div><p>{}</p></div><div class='sidebar'><p>Other things to read.</p></div></form></body>",
+    ],
+)
+def test_frames_of_whole_pages(page):
+    assert H.main_text(page.format(LONG)) == " ".join(LONG.split())
+
+
+def test_short_page():
+    assert H.main_text("<body><div><p>Yes it is.</p></div></body>") == "Yes it is."
+
+
+def agreement(rows):
+    """Precision and recall of blocks, and pages that are as they should be."""
+    hit = got_n = want_n = same = 0
+    for page, want in rows:
+        got = H.main_text(page)
+        a, b = Counter(got.split("\n")), Counter(want.split("\n"))
+        hit, got_n, want_n, same = hit + (a & b).total(), got_n + a.total(), want_n + b.total(), same + (got == want)
+    return hit / got_n, hit / want_n, same / len(rows)
+
+
+def test_labelled_pages():
+    """The weights are those of the first pages; other pages are read as labelled."""
+    x, y = [], []
+    for page, want in pages.labelled(range(660)):
+        p, main = H.Page(page), set(want.split("\n"))
+        x.append(p.features())
+        y += [t in main for t in p.texts]
+    w = H.fit(np.concatenate(x), np.array(y, float))
+    assert np.allclose(w, [H.WEIGHTS[f] for f in H.FEATURES], atol=0.01)
+    precision, recall, same = agreement(pages.labelled(range(10_000, 10_660)))
+    assert precision > 0.99 and recall > 0.99 and same > 0.98
+
+
+def test_long_pages_take_linear_time():
+    page = "<article>" + "<p>A paragraph of some words.</p><p><a href='/x'>a link of words</a></p>" * 70_000 + "</article>"
+    weak = [(0.3, -0.3, 0.1)[i % 3] for i in range(30_000)]
+    began = time.process_time()
+    assert len(H.main_text(page).split("\n")) >= 70_000
+    H.min_cut(weak, [(i, i + 1, 0.4) for i in range(len(weak) - 1)])
+    assert time.process_time() - began < 15

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import allocation, chains, cutoff
 from ledgerloom.plans import canonical as C
 from ledgerloom.plans.queries import allocated, matched, period_end
-from ledgerloom.plans.registry import query
+from ledgerloom.plans.registry import ORACLE_SQL, query
 
 _ROLE = "CASE l_linenumber % 6 WHEN 0 THEN 'order' WHEN 1 THEN 'invoice' WHEN 2 THEN 'receipt' WHEN 3 THEN 'contract' WHEN 4 THEN 'delivery' ELSE 'note' END"
 
@@ -140,7 +140,9 @@ def acknowledged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.acknowledged(e.where("event_type = 'error'").select(F.col("event_id").alias("finding_id")), acks)
 
 
-@query()
+@query(f"""SELECT business_id, CASE WHEN t.light = 'RED' THEN 'HOLD_REVIEW' WHEN t.light = 'YELLOW' AND m.decision = 'AUTO_PASS' THEN 'PASS_WITH_WARNING' ELSE m.decision END AS decision,
+  'Business ' || business_id || ': ' || lower(m.status) || '; ordered ' || coalesce(printf('%.2f', CAST(m.order_qty AS DOUBLE)), '-') || ', received ' || coalesce(printf('%.2f', CAST(m.receipt_qty AS DOUBLE)), '-') || ', invoiced ' || coalesce(printf('%.2f', CAST(m.invoice_qty AS DOUBLE)), '-') || '.' AS summary
+FROM ({ORACLE_SQL['three_way_match']}) m JOIN ({ORACLE_SQL['allocation_totals']}) t USING (business_id)""")
 def fulfilment_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match's decision after allocation, with a sentence for readers."""
     totals = allocation.allocation_totals(allocated(spark, sf_dir)).select("business_id", "light")

@@ -75,32 +75,39 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.array_compact(F.array(entities.alias(F.col("told")))).alias("exact"), entities.tokens_as_aliases(F.col("text")).alias("found"))
 
 
+# every run of up to four neighbouring tokens, each once, in order; and the word itself or with a character less
+_RUNS = "list_transform([regexp_split_to_array(p, '[-_\\s]+')], lambda ts: flatten(list_transform(range(1, len(ts) + 1), lambda i: list_transform(range(1, least(4, len(ts) - i + 1) + 1), lambda n: array_to_string(ts[i:i + n - 1], '')))))[1]"
+_FORMS = "list_distinct(list_concat([{w}], list_transform(range(1, length({w}) + 1), lambda i: left({w}, i - 1) || substr({w}, i + 1))))"
 _DETECTED = f"""doc AS (SELECT event_id, {_TEXT} AS text, {_TOLD} AS told FROM events),
-words AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ['SO' || (event_id + 100000)] WHEN 1 THEN ['PO' || (event_id + 200000)] WHEN 2 THEN ['INV' || (user_id + 3000000)] WHEN 3 THEN ['SO' || (event_id + 100000), 'INV' || (user_id + 3000000)] WHEN 4 THEN ['SO1' || (event_id % 1000 + 10000) || 'X'] ELSE [] END AS found FROM events),
-ev AS (SELECT event_id, upper(told) AS alias FROM doc WHERE told IS NOT NULL UNION SELECT event_id, unnest(found) FROM words),
-got AS (SELECT event_id, min(owner) AS a, max(owner) AS b, max(owners) AS most, min(owners) AS least FROM ev JOIN idx USING (alias) GROUP BY 1),
-near AS (SELECT DISTINCT event_id FROM (SELECT event_id, unnest(found) AS w FROM words WHERE event_id % 6 IN (0, 4)) JOIN idx ON idx.kind = 'business_id' AND idx.alias[1:6] = w[1:6] AND levenshtein(w, idx.alias) <= 1
-  UNION SELECT event_id FROM (SELECT event_id, unnest(found) AS w FROM words WHERE event_id % 6 NOT IN (4, 5)) JOIN idx ON left(idx.alias, 2) = left(w, 2) AND levenshtein(w, idx.alias) <= 1 WHERE event_id NOT IN (SELECT event_id FROM got)),
-res AS (SELECT doc.event_id AS doc_id, CASE WHEN a IS NULL THEN CASE WHEN near.event_id IS NOT NULL THEN 'SIMILAR_CANDIDATE' ELSE 'UNASSIGNED' END WHEN a = b AND most = 1 THEN 'MATCHED' WHEN least = 1 THEN 'CONFLICT' ELSE 'AMBIGUOUS_ALIAS' END AS status,
-  CASE WHEN a = b AND most = 1 THEN a END AS business_id FROM doc LEFT JOIN got USING (event_id) LEFT JOIN near USING (event_id))"""
+runs AS (SELECT event_id, told, flatten(list_transform(regexp_extract_all(upper(text), '[A-Z0-9]+(?:[-_\\s]+[A-Z0-9]+)*'), lambda p: {_RUNS})) AS l FROM doc),
+words AS (SELECT event_id, told, list_filter(l, lambda x, i: list_position(l, x) = i) AS found FROM runs),
+each AS (SELECT event_id, unnest(found) AS d FROM words), lettered AS (SELECT DISTINCT event_id, d, regexp_extract(d, '^[A-Z]+') AS letters FROM each WHERE regexp_matches(d, '^[A-Z]')),
+forms AS (SELECT event_id, d, letters, unnest({_FORMS.format(w='d')}) AS form FROM lettered), known AS (SELECT alias, regexp_extract(alias, '^[A-Z]+') AS letters, unnest({_FORMS.format(w='alias')}) AS form FROM idx WHERE regexp_matches(alias, '^[A-Z]')),
+sim AS (SELECT DISTINCT event_id, d, alias FROM forms JOIN known USING (form, letters) WHERE levenshtein(d, alias) <= 1),
+ev AS (SELECT event_id, regexp_replace(upper(trim(told)), '[-_\\s]', '', 'g') AS alias, true AS told FROM doc WHERE told IS NOT NULL UNION ALL SELECT event_id, d, false FROM each),
+got AS (SELECT event_id, min(owner) AS a, max(owner) AS b, max(owners) AS most, min(owners) AS least FROM ev JOIN idx USING (alias) WHERE told OR CASE WHEN regexp_matches(alias, '[A-Z]') THEN length(alias) >= 4 ELSE length(alias) >= 8 AND kind = 'invoice_number' END GROUP BY 1),
+near AS (SELECT DISTINCT event_id FROM sim),
+res AS (SELECT words.event_id AS doc_id, found, CASE WHEN a IS NULL THEN CASE WHEN near.event_id IS NOT NULL THEN 'SIMILAR_CANDIDATE' ELSE 'UNASSIGNED' END WHEN a = b AND most = 1 THEN 'MATCHED' WHEN least = 1 THEN 'CONFLICT' ELSE 'AMBIGUOUS_ALIAS' END AS status,
+  CASE WHEN a = b AND most = 1 THEN a END AS business_id FROM words LEFT JOIN got USING (event_id) LEFT JOIN near USING (event_id))"""
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.resolve(_documents(spark, sf_dir), entities.alias_index(_population(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {_POPULATION}, {_DETECTED} SELECT doc_id, status, business_id FROM res")
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a plain version in the tests: in SQL the comparison by edits would pair all aliases with all words."""
     return _resolved(spark, sf_dir)
 
 
-@query()
+@query(f"WITH {_POPULATION}, {_DETECTED} SELECT event_id AS doc_id, d AS detected, alias FROM sim")
 def alias_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.similar(_documents(spark, sf_dir), entities.alias_index(_population(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_POPULATION}, {_DETECTED}, fam AS (SELECT DISTINCT regexp_extract(business_id, '^[A-Z]+') AS prefix FROM pop)
+SELECT doc_id, status, business_id, CASE WHEN status = 'MATCHED' THEN 'IN_SAMPLE' WHEN status IN ('CONFLICT', 'AMBIGUOUS_ALIAS') THEN 'MIXED_SCOPE' WHEN fam.prefix IS NOT NULL THEN 'OUT_OF_SAMPLE' ELSE 'UNRESOLVED' END AS scope
+FROM res LEFT JOIN fam ON fam.prefix = regexp_extract(coalesce(found[1], ''), '^[A-Z]{{2,}}')""")
 def sample_scope_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", F.regexp_extract(F.coalesce(F.get("found", F.lit(0)), F.lit("")), "^[A-Z]{2,}", 0).alias("prefix"))
     families = _population(spark, sf_dir).select(F.regexp_extract("business_id", "^[A-Z]+", 0).alias("prefix"))
@@ -167,7 +174,7 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.duplicate_findings(_numbered(spark, sf_dir))
 
 
-@query(f"WITH {_NUMBERED} SELECT f AS file_name, ref AS reference FROM docs WHERE t <> 'invoice' AND ref IN (SELECT n FROM docs WHERE t = 'invoice')")
+@query(f"WITH {_NUMBERED.replace('docs AS', 'docs AS MATERIALIZED')}, i AS (SELECT DISTINCT n FROM docs WHERE t = 'invoice') SELECT f AS file_name, ref AS reference FROM docs JOIN i ON i.n = docs.ref WHERE t <> 'invoice'")
 def cross_doc_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.cross_references(_numbered(spark, sf_dir)).select("file_name", "reference")
 
@@ -270,13 +277,16 @@ def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.paragraphs(C.table(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, i, CASE WHEN i % 7 = 3 THEN '## ' || p[i + 1] ELSE p[i + 1] END AS s FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL))),
+n AS (SELECT *, starts_with(s, '#') AS head, count(*) FILTER (WHERE starts_with(s, '#')) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l),
+b AS (SELECT doc_id, section, max(CASE WHEN head THEN trim(regexp_replace(s, '^[# ]+', '')) END) AS title, regexp_replace(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (WHERE NOT head), ''), '^\\s+|\\s+$', '', 'g') AS body FROM n GROUP BY 1, 2)
+SELECT doc_id, section, coalesce(nullif(title, ''), CAST(doc_id AS VARCHAR)) AS title, trim(body) AS body FROM b WHERE length(trim(body)) >= 12""")
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with every seventh line made a heading, cut at the headings."""
     lines = F.array_join(F.transform(F.split("text", r"\n"), lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("## "), x)).otherwise(x)), "\n")
     return segmentation.sections(C.table(spark, sf_dir, "documents").select("doc_id", lines.alias("text")))
 
 
-@query()
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(?:p|div|tr|h[1-6]|li|td|th)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '[#*`]+', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g')) AS text FROM pages""")
 def page_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "pages").select("page_id", segmentation.visible_text(F.col("html")).alias("text"))

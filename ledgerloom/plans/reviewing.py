@@ -132,11 +132,21 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("chain_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field_key"), v.cast("string").alias("value"), u.alias("usable")) for f, v, u in rows))).alias("n")).select("chain_id", "n.*")
 
 
-@query("""WITH c AS (SELECT o_orderkey AS k, unnest(['order_reference', 'buyer_identity', 'gross_amount', 'unit']) AS concept FROM orders),
-r AS (SELECT *, CASE concept WHEN 'order_reference' THEN CASE WHEN k % 9 = 0 THEN 'MISSING_EVIDENCE' WHEN k % 5 = 0 THEN 'NORMALIZED_EQUAL' WHEN k % 5 = 1 THEN 'CONTRADICTS' ELSE 'EXACT_EQUAL' END WHEN 'buyer_identity' THEN CASE WHEN k % 17 = 0 THEN 'TAX' WHEN k % 4 = 1 THEN 'NORMALIZED_EQUAL' ELSE 'EXACT_EQUAL' END
-  WHEN 'gross_amount' THEN CASE k % 3 WHEN 0 THEN 'NORMALIZED_EQUAL' WHEN 1 THEN 'CONTRADICTS' ELSE 'EXACT_EQUAL' END ELSE CASE WHEN k % 2 = 0 THEN 'NORMALIZED_EQUAL' ELSE 'CONTRADICTS' END END AS rel FROM c)
+_COMPACT = "lower(regexp_replace(v, '[\\s,，。；;：:、·•()（）\\[\\]【】{}<>《》\\-_/\\\\]+', '', 'g'))"
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, 'Party ' || o_custkey || ' Co., Ltd.' AS name, printf('%.2f', o_totalprice) AS amount, printf('%.2f', o_totalprice + 1) AS more FROM orders),
+f AS (SELECT k, 'order_reference' AS concept, 'text' AS kind, false AS tax, 'SO-' || k AS v, true AS u FROM o
+  UNION ALL SELECT k, 'order_reference', 'text', false, CASE k % 5 WHEN 0 THEN 'so ' || k WHEN 1 THEN 'SO-' || (k + 1) ELSE 'SO-' || k END, k % 9 <> 0 FROM o
+  UNION ALL SELECT k, 'buyer_identity', 'text', false, name, true FROM o UNION ALL SELECT k, 'buyer_identity', 'text', false, CASE k % 4 WHEN 0 THEN upper(name) WHEN 1 THEN replace(name, ',', '，') ELSE name END, true FROM o
+  UNION ALL SELECT k, 'buyer_identity', 'text', true, 'TX' || c, true FROM o UNION ALL SELECT k, 'buyer_identity', 'text', true, 'TX' || (c + CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END), true FROM o
+  UNION ALL SELECT k, 'gross_amount', 'number', false, amount, true FROM o UNION ALL SELECT k, 'gross_amount', 'number', false, CASE k % 3 WHEN 0 THEN amount || '0' WHEN 1 THEN more ELSE amount END, true FROM o
+  UNION ALL SELECT k, 'unit', 'unit', false, 'pcs', true FROM o UNION ALL SELECT k, 'unit', 'unit', false, CASE WHEN k % 2 = 0 THEN '件' ELSE 'kg' END, true FROM o),
+n AS (SELECT *, lower(trim(v)) AS raw, nullif(CASE kind WHEN 'number' THEN regexp_replace(CAST(CAST(v AS DECIMAL(28, 6)) AS VARCHAR), '\\.?0+$', '') WHEN 'unit' THEN CASE WHEN COMPACT IN ('pcs', 'pc', 'piece', 'pieces', '个') THEN '件' ELSE COMPACT END ELSE COMPACT END, '') AS n FROM f),
+g AS (SELECT k, concept, count(*) FILTER (WHERE u AND NOT tax) AS usable, count(*) FILTER (WHERE u AND NOT tax AND n IS NULL) AS invalid, count(DISTINCT n) FILTER (WHERE u AND NOT tax) AS ways, count(DISTINCT raw) FILTER (WHERE u AND NOT tax) AS raws, count(DISTINCT n) FILTER (WHERE u AND tax) AS taxes FROM n GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN taxes > 1 THEN 'TAX' WHEN usable < 2 THEN 'MISSING_EVIDENCE' WHEN invalid = 0 AND ways = 1 AND raws = 1 THEN 'EXACT_EQUAL' WHEN invalid = 0 AND ways = 1 THEN 'NORMALIZED_EQUAL' ELSE 'CONTRADICTS' END AS rel FROM g)
 SELECT k AS chain_id, concept, CASE rel WHEN 'TAX' THEN 'CONTRADICTS' ELSE rel END AS relation, CASE WHEN rel = 'MISSING_EVIDENCE' THEN 'CANDIDATE' WHEN rel IN ('CONTRADICTS', 'TAX') THEN 'CONFLICT' ELSE 'CONFIRMED' END AS status,
-  CASE rel WHEN 'TAX' THEN 'TAX_ID_CONFLICT' WHEN 'MISSING_EVIDENCE' THEN 'DECISION_EVIDENCE_MISSING' WHEN 'EXACT_EQUAL' THEN 'RAW_VALUE_EQUAL' WHEN 'NORMALIZED_EQUAL' THEN 'NORMALIZED_VALUE_EQUAL' ELSE CASE concept WHEN 'order_reference' THEN 'IDENTIFIER_MISMATCH' ELSE 'DETERMINISTIC_VALUE_CONFLICT' END END AS reason FROM r""")
+  CASE rel WHEN 'TAX' THEN 'TAX_ID_CONFLICT' WHEN 'MISSING_EVIDENCE' THEN 'DECISION_EVIDENCE_MISSING' WHEN 'EXACT_EQUAL' THEN 'RAW_VALUE_EQUAL' WHEN 'NORMALIZED_EQUAL' THEN 'NORMALIZED_VALUE_EQUAL' ELSE CASE concept WHEN 'order_reference' THEN 'IDENTIFIER_MISMATCH' ELSE 'DETERMINISTIC_VALUE_CONFLICT' END END AS reason FROM r""".replace("COMPACT", _COMPACT))
 def concept_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.resolve_concepts(_nodes(spark, sf_dir))
 
@@ -159,7 +169,7 @@ def field_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _located(spark, sf_dir).select("doc_id", "field_key", "value", "char_start", "anchor_status", "evidence_id")
 
 
-@query(f"WITH {_LOCATED} SELECT doc_id, field_key, CASE WHEN p = 0 THEN 'UNLOCATED' WHEN doc_id % 10 = 0 THEN 'ROLE_CONFLICT' WHEN field_key = 'totalAmount' AND doc_id % 2 = 0 THEN 'NEEDS_REVIEW' ELSE 'SYSTEM_VERIFIED' END AS gate FROM l")
+@query(f"WITH {_LOCATED} SELECT doc_id, field_key, CASE WHEN p = 0 THEN 'UNLOCATED' WHEN doc_id % 10 = 0 THEN 'ROLE_CONFLICT' WHEN field_key = 'totalAmount' AND NOT coalesce(TRY_CAST(replace(value, ',', '') AS DOUBLE) >= 0, false) THEN 'NEEDS_REVIEW' WHEN field_key = 'receiptDate' AND TRY_CAST(value AS DATE) IS NULL THEN 'NEEDS_REVIEW' ELSE 'SYSTEM_VERIFIED' END AS gate FROM l")
 def field_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.gate(_located(spark, sf_dir), F.col("doc_id") % 10 != 0).select("doc_id", "field_key", "gate")
 

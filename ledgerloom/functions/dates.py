@@ -49,3 +49,13 @@ def period_side(d: Column, end: Column) -> Column:
 def payment_days(text: Column) -> Column:
     """The first number of days in a description of terms."""
     return F.regexp_extract(text, r"([0-9]+)\s*(?:天|日|days?)", 1).try_cast("int")
+
+
+#: Dates as they stand in running text.
+DATE_IN_TEXT = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+
+
+def all_dates(c: Column) -> Column:
+    """The dates of a text in their order; what is no date of the calendar is left out."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(DATE_IN_TEXT), F.lit(0))
+    return F.filter(F.transform(found, lambda d: parse_date(d)), lambda d: d.isNotNull())

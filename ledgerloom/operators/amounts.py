@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numbers import money, quantity, r2, rate
+from ledgerloom.functions.numbers import money, parse_number, quantity, r2, rate
 
 TOLERANCE = "0.02"
 
@@ -88,3 +88,26 @@ def ambiguous(df: DataFrame, net: str = "net", tax: str = "vat", total: str = "t
     n, t, s = (money(F.col(c)) for c in (net, tax, total))
     off = F.abs(n + t - s) > F.lit(tolerance).cast("decimal(18,2)")
     return df.withColumn("reason", F.when(s.isNull() & n.isNotNull(), "MISSING_TOTAL").when(off, "RECONCILIATION_FAILED"))
+
+
+# Labels of totals with and without tax, in the order in which they are looked for, and what an amount looks
+# like.
+TOTAL_LABELS = ("价税合计", "含税总金额", "合计金额", "总金额", "金额合计", "totalamount", "grand total")
+NET_LABELS = ("合计（不含税）", "合计不含税", "折后不含税金额", "折后不含税", "未税金额", "不含税金额合计", "不含税金额", "未税小计", "金额", "amount")
+AMOUNT_IN_TEXT = r"-?(?:[0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]+)(?:[.,][0-9]{1,2})?"
+
+
+def labelled_amount(text: Column, labels: tuple[str, ...]) -> Column:
+    """The first positive amount after the first label that has one."""
+    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?i)\Q{x}\E\s*[:：]?\s*[¥￥$]?\s*({AMOUNT_IN_TEXT})"), F.lit(1)) for x in labels]
+    return F.get(F.filter(F.transform(F.concat(*found), parse_number), lambda v: v > 0), F.lit(0))
+
+
+def total_with_basis(text: Column, total: Column, net: Column, tax: Column, rate: Column, qty: Column, price: Column) -> Column:
+    """struct<amount double, basis string>: a document's total with tax: as its field or its text states it, else the net
+    amount (of its field or its text) with the tax or at the rate, else quantity times price. Only positive numbers count;
+    null where nothing does."""
+    up = lambda c: F.when(c > 0, c)
+    told, before = labelled_amount(text, TOTAL_LABELS), F.coalesce(up(net), labelled_amount(text, NET_LABELS))
+    made = lambda value, basis: F.when(value.isNotNull(), F.struct(value.cast("double").alias("amount"), F.lit(basis).alias("basis")))
+    return F.coalesce(made(up(total), "FIELD"), made(told, "LABEL"), made(before + up(tax), "NET_AND_TAX"), made(before * (1 + rate), "NET_AT_RATE"), made(up(qty) * up(price), "QUANTITY_TIMES_PRICE"))

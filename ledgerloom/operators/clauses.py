@@ -128,6 +128,21 @@ def document_type(name: Column, text: Column, hint: Column) -> Column:
     return F.coalesce(by(low, IN_NAME), by(body, IN_TEXT), F.when(told.isin(*TYPES), told), F.lit("other"))
 
 
+# What the numbered parts and words of a file's name say of its type, in the order in which they are tried.
+SUFFIXES = (
+    ("contract", "[_-]0?1[_-]|合同|contract"), ("order", "[_-]0?2[_-]|订单|order"), ("delivery", "[_-]0?3[_-]|发货|delivery"),
+    ("receipt", "[_-]0?4[_-]|签收|验收|receipt"), ("invoice", "[_-]0?5[_-]|发票|invoice"), ("payment", "[_-]0?6[_-]|回款|payment|银行"),
+)
+
+
+def light_type(name: Column, kind: Column, ids: Column) -> Column:
+    """The type of a document that has been found to be no other: by the numbered part of its name, if that holds an
+    identifier."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    by_name = F.coalesce(*(F.when(low.rlike(p), k) for k, p in SUFFIXES), F.lit("other"))
+    return F.when((kind == "other") & (F.size(ids) > 0), by_name).otherwise(kind)
+
+
 def score_cards(pages: DataFrame, cards: dict[str, dict], key: str = "page_id", text: str = "text", keep: int = 3) -> DataFrame:
     """(key, place, card, score, enough): the `keep` best cards of each page, ties by name.
 

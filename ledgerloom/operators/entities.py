@@ -153,3 +153,10 @@ def in_population(chains: DataFrame, population: DataFrame, chain: str = "chain_
     there = not ids.isEmpty()
     out = chains.join(ids, compact_id(F.col(chain)) == F.col("__id"), "left")
     return out.withColumn("in_population", F.coalesce("__in", F.lit(False)) if there else F.lit(None).cast("boolean")).drop("__id", "__in")
+
+
+def merge_exceptions(old: DataFrame, new: DataFrame, accepted: DataFrame, exception: str = "exception_id", name: str = "file_name") -> DataFrame:
+    """Old and new exceptions by their id: of one that is in both the new row counts, and old ones of a file that has been
+    accepted since are cleared."""
+    kept = old.join(accepted.select(name).where(F.col(name) != "").distinct(), name, "left_anti").select(*old.columns)
+    return kept.join(new.select(exception), exception, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import ids
-from ledgerloom.operators import allocation, assertions, entities, sheets
+from ledgerloom.functions import dates, ids
+from ledgerloom.operators import allocation, amounts, assertions, clauses, entities, sheets
 from ledgerloom.plans import canonical as C
 from ledgerloom.plans.registry import query
+from ledgerloom.sources import files
 
 # ---- sheets: the orders of each year, under titles of different length and headers of four kinds
 
@@ -242,3 +243,70 @@ def comparison_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = C.table(spark, sf_dir, "orders").withColumn("chain_id", F.col("o_orderkey"))
     cutoffs = orders.select("chain_id", F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "P", "FAIL").alias("status"))
     return assertions.comparison_status(concepts, lines, orders.where("o_totalprice > 200000").select("chain_id"), cutoffs)
+
+
+# ---- fields out of running text
+
+_NOTE = """CASE o_orderkey % 6 WHEN 0 THEN '价税合计：￥' || format('{:,.2f}', o_totalprice) || ' on ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'Grand Total 0, grand total: ' || printf('%.2f', o_totalprice) || '; 2020/2/31, 1/31/2020' WHEN 2 THEN '不含税金额 ' || printf('%.2f', o_totalprice) || ' 税率13% ' || year(o_orderdate) || '年3月7日'
+ WHEN 3 THEN 'amount: ' || printf('%.2f', o_totalprice) WHEN 4 THEN '总金额 -5 合计金额: 7' ELSE 'nothing said' END"""
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    plain, day = F.format_string("%.2f", p), F.to_date("o_orderdate")
+    say = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    note = (
+        F.when(k % 6 == 0, say("价税合计：￥", F.format_number(p, 2), " on ", F.date_format(day, "yyyy-MM-dd"))).when(k % 6 == 1, say("Grand Total 0, grand total: ", plain, "; 2020/2/31, 1/31/2020"))
+        .when(k % 6 == 2, say("不含税金额 ", plain, " 税率13% ", F.year(day).cast("string"), "年3月7日")).when(k % 6 == 3, say("amount: ", plain)).when(k % 6 == 4, say("总金额 -5 合计金额: 7")).otherwise("nothing said")
+    )
+    return C.table(spark, sf_dir, "orders").select(k.alias("doc_id"), "o_custkey", "o_totalprice", note.alias("text"))
+
+
+_PICKED = lambda labels: "list_filter(list_transform(flatten([" + ", ".join(f"regexp_extract_all(text, '(?i)\\Q{x}\\E\\s*[:：]?\\s*[¥￥$]?\\s*({amounts.AMOUNT_IN_TEXT})', 1)" for x in labels) + "]), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)), lambda x: x > 0)[1]"
+
+
+@query(f"""WITH n AS (SELECT o_orderkey AS doc_id, {_NOTE} AS text, CASE WHEN o_custkey % 5 = 0 THEN o_totalprice END AS total, CASE WHEN o_custkey % 3 = 0 THEN 9.0 WHEN o_custkey % 3 = 1 THEN 0.0 END AS tax, CASE WHEN o_custkey % 2 = 0 THEN 0.13 END AS rate, CASE WHEN o_custkey % 7 > 0 THEN 2.0 END AS qty FROM orders),
+p AS (SELECT *, {_PICKED(amounts.TOTAL_LABELS)} AS told, {_PICKED(amounts.NET_LABELS)} AS net FROM n)
+SELECT doc_id, CASE WHEN total > 0 THEN total WHEN told IS NOT NULL THEN told WHEN net IS NOT NULL AND tax > 0 THEN net + tax WHEN net IS NOT NULL AND rate IS NOT NULL THEN net * (1 + rate) WHEN qty > 0 THEN qty * 5.0 END AS amount,
+  CASE WHEN total > 0 THEN 'FIELD' WHEN told IS NOT NULL THEN 'LABEL' WHEN net IS NOT NULL AND tax > 0 THEN 'NET_AND_TAX' WHEN net IS NOT NULL AND rate IS NOT NULL THEN 'NET_AT_RATE' WHEN qty > 0 THEN 'QUANTITY_TIMES_PRICE' END AS basis FROM p""")
+def stated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("o_custkey")
+    total = F.when(c % 5 == 0, F.col("o_totalprice"))
+    made = amounts.total_with_basis(F.col("text"), total, F.lit(None).cast("double"), F.when(c % 3 == 0, 9.0).when(c % 3 == 1, 0.0), F.when(c % 2 == 0, 0.13), F.when(c % 7 > 0, 2.0), F.lit(5.0))
+    return _notes(spark, sf_dir).select("doc_id", made.alias("t")).select("doc_id", "t.amount", "t.basis")
+
+
+@query(f"""WITH n AS (SELECT o_orderkey AS doc_id, {_NOTE} AS text FROM orders), d AS (SELECT doc_id, regexp_extract_all(text, '{dates.DATE_IN_TEXT}') AS l FROM n),
+p AS (SELECT doc_id, list_filter(list_transform(l, lambda x: CASE WHEN contains(x, '年') THEN TRY_CAST(replace(replace(replace(x, '年', '-'), '月', '-'), '日', '') AS DATE) WHEN regexp_matches(x, '^[0-9]{{4}}') THEN TRY_CAST(replace(x, '/', '-') AS DATE) ELSE CAST(try_strptime(replace(x, '/', '-'), '%m-%d-%Y') AS DATE) END), lambda x: x IS NOT NULL) AS l FROM d)
+SELECT doc_id, array_to_string(list_transform(l, lambda x: strftime(x, '%Y-%m-%d')), ',') AS dates FROM p""")
+def dates_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.transform(dates.all_dates(F.col("text")), lambda d: d.cast("string"))
+    return _notes(spark, sf_dir).select("doc_id", F.array_join(found, ",").alias("dates"))
+
+
+_FILE = """CASE o_orderkey % 5 WHEN 0 THEN 'SO25-' || (1000 + o_custkey % 9000) || '_0' || (1 + o_custkey % 7) || '_scan' WHEN 1 THEN 'HT25-' || (1000 + o_custkey % 9000) || '-' || (1 + o_custkey % 6) || '-x' WHEN 2 THEN 'scan_01_' || o_custkey WHEN 3 THEN 'INV25-' || (1000 + o_custkey) || ' 验收' ELSE o_orderpriority END"""
+_SUFFIX_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(n), '{p}') THEN '{k}'" for k, p in clauses.SUFFIXES) + " ELSE 'other' END"
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, {_FILE} AS n, CASE WHEN o_totalprice > 300000 THEN 'memo' ELSE 'other' END AS k FROM orders)
+SELECT o_orderkey AS doc_id, CASE WHEN k = 'other' AND regexp_matches(n, '(SO|HT|INV)[0-9]{{2,4}}[-_]?[0-9]{{3,6}}') THEN {_SUFFIX_SQL} ELSE k END AS doc_type FROM f""")
+def light_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = C.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_FILE).alias("n"), F.when(F.col("o_totalprice") > 300000, "memo").otherwise("other").alias("k"))
+    return own.select(F.col("o_orderkey").alias("doc_id"), clauses.light_type(F.col("n"), F.col("k"), ids.ids_in_free_text(F.col("n"))).alias("doc_type"))
+
+
+@query("""WITH old AS (SELECT event_id AS exception_id, 'f' || user_id AS file_name, event_type AS reason FROM events WHERE value > 20), new AS (SELECT event_id AS exception_id, 'f' || user_id AS file_name, 'again' AS reason FROM events WHERE value <= 40)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE exception_id NOT IN (SELECT exception_id FROM new) AND file_name NOT IN (SELECT 'f' || user_id FROM events WHERE event_type = 'purchase')""")
+def scope_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = C.table(spark, sf_dir, "events")
+    own = lambda rows, reason: rows.select(F.col("event_id").alias("exception_id"), F.concat(F.lit("f"), F.col("user_id")).alias("file_name"), reason.alias("reason"))
+    accepted = e.where("event_type = 'purchase'").select(F.concat(F.lit("f"), F.col("user_id")).alias("file_name"))
+    return entities.merge_exceptions(own(e.where("value > 20"), F.col("event_type")), own(e.where("value <= 40"), F.lit("again")), accepted)
+
+
+@query("""SELECT vec_id, CASE WHEN label % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE label % 5 <> 1""")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector store with the rows of some labels put in anew and those of others taken out."""
+    v = C.table(spark, sf_dir, "embeddings")
+    put = files.upsert(v, v.where("label % 3 = 0").withColumn("label", (F.col("label") + 100).cast("int")), "vec_id")
+    return files.delete(put, v.where("label % 5 = 1"), "vec_id").select("vec_id", "label")

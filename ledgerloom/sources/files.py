@@ -109,6 +109,16 @@ def replace_by(df: DataFrame, path: str, column: str) -> None:
     df.write.mode("overwrite").partitionBy(column).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """A store's rows with some put in by key: a known key's row is replaced. Of several new rows of a key any one counts."""
+    return delete(table, rows, key).unionByName(rows.select(*table.columns).dropDuplicates([key]))
+
+
+def delete(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """A store's rows without those of some keys."""
+    return table.join(gone.select(key).distinct(), key, "left_anti").select(*table.columns)
+
+
 def fetch(table: DataFrame, wanted: DataFrame, key: str, place: str) -> DataFrame:
     """The rows of the wanted keys, with their place."""
     return table.join(wanted.select(key, place), key)

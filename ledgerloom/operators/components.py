@@ -13,20 +13,25 @@ def _signature(edges: DataFrame) -> tuple[int, object]:
     return row["n"], row["h"]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges of a task, about, and tasks of a step, at the least.
+TASK_EDGES, TASKS = 100_000, 8
+
+
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """One star step. The minima are stored first, so that the join that follows has two plain scans and a hot
-    centre can be split by adaptive execution."""
+    centre can be split by adaptive execution. Small graphs are stored in few files, whatever the session's number of
+    partitions."""
     if large:
         pairs = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
     else:
         pairs = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    least = stash(pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")), "stars")
+    least = stash(pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")).coalesce(tasks), "stars")
     joined = pairs.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("b").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-    return stash(out.where("u > v").distinct(), "edges")
+    return stash(out.where("u > v").distinct().coalesce(tasks), "edges")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -40,7 +45,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = stash(now.distinct(), "edges")
     seen = _signature(now)
     while seen[0]:
-        now = _star(_star(now, True), False)
+        tasks = max(TASKS, seen[0] // TASK_EDGES)
+        now = _star(_star(now, True, tasks), False, tasks)
         mark = _signature(now)
         if mark == seen:
             break

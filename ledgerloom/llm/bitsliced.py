@@ -7,8 +7,9 @@ reduce these to the slices of the scores. The best rows are then taken from the
 still tied at the end are resolved by id.
 
 Defined cases: a vector that is null, empty, or holds a null, NaN or infinite component takes no part, nor does a row
-without an id; of several rows with one id the least vector counts; only vectors of the same length are compared;
-scores must fit a long. An empty table gives no rows.
+without an id; rows that share an id are rows of their own, none of them answers a query of that id, and queries that
+share one give their best together; only vectors of the same length are compared; scores must fit a long. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 64
+#: Blocks of queries that meet a block of rows in one task, at the most; tasks there should be, at the least.
+QUERY_BLOCKS, TASKS = 16, 32
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """(vec_id, dim, q array<long>) of the vectors that take part; one row an id."""
+    """(vec_id, dim, q array<long>) of the vectors that take part."""
     v = F.col("v")
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     own = own.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
     own = own.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    own = own.groupBy("vec_id").agg(F.min("v").alias("v"))
     return own.select("vec_id", F.size("v").alias("dim"), F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("q"))
 
 
@@ -113,60 +115,64 @@ def _top(slices: list[np.ndarray], eligible: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((certain, rows(maybe)[: k - len(certain)]))
 
 
-def _search(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best k rows of one block for each query of one query block."""
+def _search(index: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k rows of one block for each query of some query blocks."""
     out = []
-    for r in pdf.itertuples(index=False):
+    for r in index.itertuples(index=False):
         ids = np.frombuffer(r.ids, np.int64)
         maps = np.frombuffer(r.slices, np.uint64).reshape(r.dim * r.bits, -1)
         maps = np.concatenate((maps, ~maps))
         valid = np.zeros(maps.shape[1] * 64, np.uint8)
         valid[: r.n] = 1
-        qids, qs = np.frombuffer(r.qids, np.int64), np.frombuffer(r.qs, np.int64).reshape(-1, r.dim)
-        at = np.searchsorted(ids, qids)
-        for qid, q, p in zip(qids.tolist(), qs, at.tolist(), strict=True):
-            mine = valid
-            if p < r.n and ids[p] == qid:
-                mine = valid.copy()
-                mine[p] = 0
-            slices, const = _sum_slices(maps, r.bits, q)
-            best = _top(slices, np.packbits(mine, bitorder="little").view(np.uint64), k)
-            const += r.lo * int(q.sum())
-            for row in best.tolist():
-                word, bit = row >> 6, row & 63
-                score = const + sum(((int(s[word]) >> bit) & 1) << w for w, s in enumerate(slices))
-                out.append((qid, int(ids[row]), score))
+        for qids, qs in zip(asked["qids"], asked["qs"], strict=True):
+            qids, qs = np.frombuffer(qids, np.int64), np.frombuffer(qs, np.int64).reshape(-1, r.dim)
+            first, last = np.searchsorted(ids, qids), np.searchsorted(ids, qids, "right")
+            for qid, q, x, y in zip(qids.tolist(), qs, first.tolist(), last.tolist(), strict=True):
+                mine = valid
+                if x < y:
+                    mine = valid.copy()
+                    mine[x:y] = 0
+                slices, const = _sum_slices(maps, r.bits, q)
+                best = _top(slices, np.packbits(mine, bitorder="little").view(np.uint64), k)
+                const += r.lo * int(q.sum())
+                for row in best.tolist():
+                    word, bit = row >> 6, row & 63
+                    score = const + sum(((int(s[word]) >> bit) & 1) << w for w, s in enumerate(slices))
+                    out.append((qid, int(ids[row]), score))
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     q = np.vstack(pdf["q"].to_numpy()).astype(np.int64)
-    return pd.DataFrame({"dim": [q.shape[1]], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "qs": [q.tobytes()]})
+    return pd.DataFrame({"dim": [q.shape[1]], "part": [pdf["part"].iloc[0]], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "qs": [q.tobytes()]})
 
 
 def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     """The index, a row a block, and the number of blocks a length of vectors has."""
     blocks = max(1, math.ceil(rows.count() / block_rows))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    # by place as well, so that rows of one id, or equal rows, don't fill a block
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)))
     return dealt.groupBy("dim", "block").applyInPandas(_build, "dim int, block long, n long, lo long, bits int, ids binary, slices binary"), blocks
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of another id with the largest inner products of
     floor(scale * x), ties to the smaller id. Every block of rows meets every block of queries once; a task holds one
-    of each. A block answers with k rows a query, so what is merged is k rows for each query and block."""
+    block of rows and a bounded number of blocks of queries. A block answers with k rows a query, so what is merged is k
+    rows for each query and block."""
     rows, asked = quantised(vectors, id_col, vec_col, scale), quantised(queries, id_col, vec_col, scale)
     index, blocks = build_index(rows, block_rows)
     parts = max(1, math.ceil(asked.count() / query_rows))
-    packed = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).groupBy("dim", "part").applyInPandas(_pack, "dim int, qids binary, qs binary")
-    # each block is read by a few tasks, each with its share of the queries
-    shares = min(parts, 4)
-    asked = packed.withColumn("share", F.pmod(F.xxhash64("qids"), F.lit(shares))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    index = index.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    tasks = min(4096, max(blocks * shares, 1))
-    keys = ["dim", "block", "share"]
-    met = asked.repartition(tasks, *keys).join(index.repartition(tasks, *keys).hint("merge"), keys)
-    found = met.groupBy("dim", "block", "share", F.xxhash64("qids").alias("part")).applyInPandas(lambda p: _search(p, k), "query_id long, vec_id long, score long")
+    part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts))
+    packed = asked.withColumn("part", part).groupBy("dim", "part").applyInPandas(_pack, "dim int, part long, qids binary, qs binary")
+    shares = min(parts, max(math.ceil(parts / QUERY_BLOCKS), math.ceil(TASKS / blocks)))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = packed.select("dim", F.pmod("part", F.lit(shares)).alias("share"), "qids", "qs").withColumn("block", all_of(blocks))
+    index = index.withColumn("share", all_of(shares))
+    tasks, keys = min(4096, max(blocks * shares, 1)), ["dim", "block", "share"]
+    # each block of rows is sent once a share, and each block of queries once a block of rows
+    met = index.repartition(tasks, *keys).groupBy(*keys).cogroup(asked.repartition(tasks, *keys).groupBy(*keys))
+    found = met.applyInPandas(lambda a, b: _search(a, b, k), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.m")).alias("score"))
 

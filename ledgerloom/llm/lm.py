@@ -4,7 +4,8 @@ A token's probability mixes maximum-likelihood estimates of two lengths of conte
 
     p(w | v) = a(b) c(vw) / c(v)  +  u(b) c(w) / N  +  e(b) / (V + 1),
 
-with weights for each bucket b of the context's frequency (its binary logarithm). They are learnt by expectation-
+with weights for each bucket b of the context's frequency (its binary logarithm); a context that was never seen has no
+estimate of its own, so its weight there is zero and the others make up one. They are learnt by expectation-
 maximisation: a fixed share of the training documents is deleted from the counts (the counts of all training documents
 less those of the deleted ones), and the weights are those under which the deleted tokens are likeliest. The text's
 score is then taken with the counts of all training documents.
@@ -16,7 +17,7 @@ with the corpus; and no vocabulary is held whole anywhere.
 
 Defined cases: a null text is empty (its one token is the end); a null doc_id learns nothing and is not held out;
 repeated rows are documents of their own; with no training documents every count is zero; with no deleted tokens the
-weights are equal; an empty table gives no rows; other columns are not read.
+weights of a bucket are equal; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.batches import few_rows, texts_of
 from ledgerloom.plans.stash import stash
 
 #: Bytes of text in a batch, and tokens of the corpus for each bucket of hashes.
 BATCH_BYTES, BUCKET_TOKENS = 10_000_000, 2_000_000
+#: Buckets beyond which counts are rows, one for each hash of a batch.
+MOST_BUCKETS = 4096
 #: One training document in so many is deleted from the counts that the weights are learnt with.
 DELETED = 20
 ROUNDS, CLOSE_ENOUGH = 15, 1e-4
@@ -133,10 +137,10 @@ def dealt(docs: DataFrame, batches: int, deleted: bool = False) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in parts:
-            text = pa.array([squeeze(t.encode()) for t in b.column(4).to_pylist()], pa.binary())
+            text = pa.array([squeeze(t.encode()) for t in texts_of(b.column(4))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], text], ["batch", "doc_id", "learn", "deleted", "text"])
 
-    return own.mapInArrow(run, "batch long, doc_id long, learn boolean, deleted boolean, text binary")
+    return few_rows(own).mapInArrow(run, "batch long, doc_id long, learn boolean, deleted boolean, text binary")
 
 
 def _batch(t: pa.Table) -> Batch:
@@ -175,8 +179,26 @@ def corpus_counts(rows: DataFrame, bits: int) -> DataFrame:
     return given.groupBy("bucket").applyInArrow(add, "batch long, bucket int, counts binary, n long, v long, less long")
 
 
+def counts_by_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hash, n, less), the corpus counts, and (batch, hash), the hashes of each batch: the way for corpora of so many
+    batches and buckets that a batch has but a few hashes in a bucket. Rows grow with the tokens."""
+
+    def give(t: pa.Table) -> pa.Table:
+        b = _batch(t)
+        keys = b.keys()
+        n = b.counts(keys, t.column("learn").to_numpy().astype(bool))
+        gone, batch = t.column("deleted")[0].as_py(), t.column("batch")[0].as_py()
+        return pa.table({"batch": pa.array(np.full(len(keys), batch)), "hash": pa.array(keys.view(np.int64)), "n": pa.array(n), "less": pa.array(n if gone else np.zeros_like(n))})
+
+    given = stash(rows.groupBy("batch").applyInArrow(give, "batch long, hash long, n long, less long"), "given")
+    return stash(given.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("less").alias("less")), "sums"), given.select("batch", "hash")
+
+
 def _joined(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Corpus counts of a batch's hashes in their order, all and of deleted documents."""
+    if "hash" in t.column_names:
+        order = np.argsort(t.column("hash").to_numpy().view(np.uint64))
+        return tuple(t.column(c).to_numpy()[order].astype(np.int64) for c in ("n", "less"))
     parts = sorted(zip(t.column("bucket").to_pylist(), t.column("counts").to_pylist(), strict=True))
     halves = [np.split(_unpack(c, np.uint32).astype(np.int64), 2) for _, c in parts]
     return np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves])
@@ -200,12 +222,17 @@ def learn_weights(rows: DataFrame, counts: DataFrame, batches: int, total: int,
         bucket, pair, single, _ = _components(_batch(t), n - gone, total - less)
         return pa.table({"b": pa.array(bucket.astype(np.int32)), "pair": pa.array(pair), "single": pa.array(single)})
 
-    counts = counts.where(F.col("batch") >= batches).select("batch", "bucket", "counts")
+    counts = counts.where(F.col("batch") >= batches)
     seen = rows.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(held, "b int, pair double, single double")
     seen = seen.groupBy("b", "pair", "single").agg(F.count("*").alias("n"))
     seen = stash(seen, "deleted")
-    buckets, rest = range(TOP_BUCKET + 1), 1 / (distinct + 1)
-    weights = [[1 / 3] * 3 for _ in buckets]
+    return interpolate(seen, 1 / (distinct + 1))
+
+
+def interpolate(seen: DataFrame, rest: float) -> list[list[float]]:
+    """Expectation-maximisation over (b, pair, single, n): the bucket, the two estimates, and the number of such tokens."""
+    buckets = range(TOP_BUCKET + 1)
+    weights = [[0.0, 0.5, 0.5], *([1 / 3] * 3 for _ in buckets[1:])]
     for _ in range(ROUNDS):
         at = lambda i, w=weights: F.element_at(F.array(*(F.lit(x[i]) for x in w)), F.col("b") + 1)
         mixed = seen.select("b", "n", (at(0) * F.col("pair")).alias("a"), (at(1) * F.col("single")).alias("u"), (at(2) * F.lit(rest)).alias("e"))
@@ -219,6 +246,7 @@ def learn_weights(rows: DataFrame, counts: DataFrame, batches: int, total: int,
         new = []
         for b in buckets:
             r = [x + 10 * w for x, w in zip(got.get(b, [0.0] * 3), whole, strict=True)]
+            r[0] *= b > 0
             new.append([x / sum(r) for x in r])
         moved = max(abs(x - y) for p, q in zip(new, weights, strict=True) for x, y in zip(p, q, strict=True))
         weights = new
@@ -227,15 +255,22 @@ def learn_weights(rows: DataFrame, counts: DataFrame, batches: int, total: int,
     return weights
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, bucket_tokens: int = BUCKET_TOKENS, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each document."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, math.ceil(size / batch_bytes))
     bits = max(0, math.ceil(math.log2(max(1, size / 6 / bucket_tokens))))
     rows = dealt(own, batches)
-    counts = stash(corpus_counts(rows, bits), "counts")
-    sums = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("less").alias("less")).first()
+    if 1 << bits <= most_buckets:
+        counts = stash(corpus_counts(rows, bits), "counts")
+        sums = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("less").alias("less")).first()
+        counts = counts.select("batch", "bucket", "counts")
+    else:
+        all_, own_ = counts_by_rows(rows)
+        single = all_.where(F.col("hash").bitwiseAND(F.lit(1)) == 1)
+        sums = single.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum("less").alias("less")).first()
+        counts = own_.join(all_, "hash").select("batch", "hash", "n", "less")
     total, distinct, less = (x or 0 for x in sums)
     weights = np.array(learn_weights(dealt(own, batches, True), counts, batches, total, less, distinct))
 
@@ -251,7 +286,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
         return pa.table({"doc_id": t.column("doc_id"), "held_out": held, "n_tokens": pa.array(b.sizes, pa.int64()), "n_known": pa.array(add((seen > 0).astype(np.int64))), "train_tokens": pa.array([total] * len(b.sizes), pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(p))})
 
     kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("batch").cogroup(counts.select("batch", "bucket", "counts").groupBy("batch")).applyInArrow(give, kinds)
+    return rows.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(give, kinds)
 
 
 def _crc(doc_id: int) -> int:

@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ SET_WINDOWS = 1_000_000
 
 # Word characters: digits, letters a-z after lower-casing A-Z, and whatever is not ASCII.
 _BLANKED = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+_JAVA_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
@@ -38,23 +40,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """The windows of some items, looked up in all windows of a text at once."""
+    """The windows of some items, looked up in all windows of a text at once. A window is a hash and a place among the
+    items' words, where hits are verified."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], size: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.names: list[str] = []
+        parts, found, at = [], {}, 0
         for name, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+            if not words:
+                continue
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
             n = min(size, len(ids))
-            for i in range(len(ids) - n + 1) if n else ():
-                self.items.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(name)
-        self.hashes = {n: np.unique(self._hash(np.array(list(w), np.uint64))) for n, w in self.items.items()}
+            h = self._hash(ids, np.arange(len(ids) - n + 1), n)
+            found.setdefault(n, []).append((h, np.full(len(h), len(self.names), np.uint32), np.arange(at, at + len(h), dtype=np.int64)))
+            self.names.append(name)
+            parts.append(ids.astype(np.uint32))
+            at += len(ids)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        #: By the number of words: the windows' hashes in order, their items and places.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, w in found.items():
+            h, item, place = (np.concatenate(x) for x in zip(*w, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.windows[n] = h[order], item[order], place[order]
 
     @staticmethod
-    def _hash(windows: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(windows), np.uint64)
-        for k in range(windows.shape[1]):
-            h = h * np.uint64(_MULTIPLIER) + windows[:, k]
+    def _hash(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        h = np.zeros(len(starts), np.uint64)
+        for k in range(n):
+            h = h * np.uint64(_MULTIPLIER) + ids[starts + k]
         return h
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
@@ -62,7 +77,7 @@ class WindowSet:
         hit, found = np.zeros(len(words), bool), set()
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        for n, windows in self.items.items():
+        for n, (table, item, place) in self.windows.items():
             if len(ids) < n:
                 continue
             # only windows all of whose words are some item's
@@ -70,24 +85,24 @@ class WindowSet:
             starts = np.flatnonzero(seen[n:] - seen[:-n] == n)
             if not len(starts):
                 continue
-            h = np.zeros(len(starts), np.uint64)
-            for k in range(n):
-                h = h * np.uint64(_MULTIPLIER) + ids[starts + k]
-            table = self.hashes[n]
-            at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            for s in starts[table[at] == h].tolist():
-                if names := windows.get(tuple(ids[s : s + n].tolist())):
-                    hit[s : s + n] = True
-                    found |= names
+            h = self._hash(ids, starts, n)
+            first, last = np.searchsorted(table, h), np.searchsorted(table, h, "right")
+            for s, a, b in zip(*(x[first < last].tolist() for x in (starts, first, last)), strict=True):
+                own = ids[s : s + n]
+                for i in range(a, b):
+                    p = place[i]
+                    if (self.words[p : p + n] == own).all():
+                        hit[s : s + n] = True
+                        found.add(self.names[item[i]])
         return hit, found
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: int) -> list[DataFrame]:
-    """The items, dealt by hash into so many blocks that each has about `most` windows at the most."""
+    """The items, dealt by hash into so many blocks that each has `most` windows on average. An item is never split."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # an item has no more windows than characters
-    bound = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-bound // (8 * most)) or 1
+    n_words = F.regexp_count("text", F.lit(_JAVA_WORD))
+    total = items.agg(F.sum(F.greatest(n_words - (size - 1), F.least(n_words, F.lit(1))))).first()[0] or 0
+    n = -(-total // most) or 1
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
 
 
@@ -113,13 +128,15 @@ def _scan(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     return few_rows(docs).mapInArrow(run, f"row_key {kind}, n_words long, runs array<bigint>, items array<string>")
 
 
-def _covered(runs: list[list[int]]) -> int:
-    """Positions in the union of [start, end) runs, given as flat lists."""
-    n, end = 0, 0
-    for a, b in sorted((r[i], r[i + 1]) for r in runs for i in range(0, len(r), 2)):
-        n += max(0, b - max(a, end))
-        end = max(end, b)
-    return n
+def _union(runs: Iterable[Iterable[int]]) -> list[tuple[int, int]]:
+    """The union of [start, end) runs, given as flat lists, in order and apart."""
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted((int(r[i]), int(r[i + 1])) for r in runs for i in range(0, len(r), 2)):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = spans[-1][0], max(spans[-1][1], b)
+        else:
+            spans.append((a, b))
+    return spans
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, most: int = SET_WINDOWS) -> DataFrame:
@@ -144,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hit = F.aggregate(F.sequence(F.lit(0), F.size(bounds) - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.when(i % 2 == 0, -F.get(bounds, i)).otherwise(F.get(bounds, i)))
         hit = F.when(F.size(bounds) > 0, hit).otherwise(F.lit(0).cast("long"))
     else:
-        hit = F.udf(_covered, "long")("runs")
+        hit = F.pandas_udf(lambda s: s.map(lambda runs: sum(b - a for a, b in _union(runs))), "long")("runs")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "runs")
 
 
@@ -202,23 +219,12 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*out, raw[at:]]).decode()
 
 
-def _without_all(text: str, runs: list[list[int]]) -> str:
-    """_without() for the union of the blocks' runs, given as flat lists."""
-    spans: list[list[int]] = []
-    for a, b in sorted((r[i], r[i + 1]) for r in runs for i in range(0, len(r), 2)):
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], b)
-        else:
-            spans.append([a, b])
-    return _without(text, [(a, b) for a, b in spans])
-
-
 def _by_blocks(docs: DataFrame, blocks: list[DataFrame], mode: str, text_col: str, size: int) -> DataFrame:
     """decontaminate() by several blocks of items. Equal texts are looked at once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.xxhash64(text).alias("h"), F.crc32(text).alias("c"))
     now = docs.select(key.alias("row_key"), text.alias("text")).dropDuplicates(["row_key"])
-    cut, done = F.udf(_without_all, "string"), None
+    cut, done = F.pandas_udf(lambda texts, runs: pd.Series([_without(t, _union(r)) for t, r in zip(texts, runs, strict=True)], dtype=object), "string"), None
     while True:
         union = None
         for b in blocks:

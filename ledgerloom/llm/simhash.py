@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.batches import few_rows, texts_of
+from ledgerloom.llm.batches import AT_A_TIME, few_rows, texts_of
 from ledgerloom.operators.components import connected_components
 from ledgerloom.plans.stash import small, stash
 
@@ -263,24 +263,26 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 #: Settings of near_dedup(): words of a shingle, and the least Jaccard similarity of near copies.
 DEDUP_SHINGLE, DEDUP_SIMILARITY = 5, 0.8
-#: Longs of a parity bitmap.
-BITMAP = 4
+#: Bits in which fingerprints that meet under a key may differ to be looked at on their shingles.
+CANDIDATE_BITS = 12
+#: Longs of a parity bitmap; by how much a round of candidates is larger than the one before.
+BITMAP, STEP = 16, 16
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY) -> DataFrame:
     """One document of each group of exact and near copies, in its own columns: that with the smallest id.
 
     Equal texts are one node. Near copies are nodes whose sets of shingles have a Jaccard similarity of at least
-    `similarity`: every such pair is linked, directly or through other such pairs (near_pairs()). Texts without words
-    are copies of one another only if equal. Rows that are the same in id and text are one.
+    `similarity`: any two such nodes are connected by verified pairs (near_groups()). Texts without words are copies of
+    one another only if equal. Of rows that are the same in id and text any one stays.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.withColumns({"__h": F.xxhash64(text), "__c": F.hash(text), "__null": F.col(id_col).isNull(), "__id": F.col(id_col)})
     rows = stash(marked.select("__h", "__c", "__null", "__id"), "rows")
     texts = rows.groupBy("__h", "__c").agg(F.min(F.struct("__null", "__id")).alias("first"))
     texts = stash(texts.select("__h", "__c", F.col("first.__null").alias("__null"), F.col("first.__id").alias("__id")), "texts")
-    near = near_pairs(marked.select("__h", text_col), shingle, similarity)
-    members = stash(connected_components(near).withColumnRenamed("node", "__h").join(texts, "__h"), "members")
+    near = near_groups(marked.select("__h", text_col), shingle, similarity)
+    members = stash(near.withColumnRenamed("node", "__h").join(texts, "__h"), "members")
     first = stash(members.groupBy("component").agg(F.min(F.struct("__null", "__id", "__h", "__c")).alias("first")), "first")
     dropped = members.join(first, "component").where(F.struct("__null", "__id", "__h", "__c") != F.col("first")).select("__h", "__c", F.lit(True).alias("drop"))
     kept = stash(texts.join(dropped, ["__h", "__c"], "left").where("drop IS NULL").select("__h", "__c", "__null", "__id"), "kept")
@@ -288,8 +290,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     gone = stash(copies.join(kept, _same(copies, kept), "left_anti"), "gone")
     out = marked.join(small(gone), _same(marked, gone), "left_anti")
-    if not copies.where("n > 1").isEmpty():
-        out = out.dropDuplicates(keys)
+    twice = stash(copies.where("n > 1").select(*keys), "twice")
+    if not twice.isEmpty():
+        # only the repeated rows are dealt by their keys
+        again = marked.join(small(twice), _same(marked, twice), "left_semi").join(small(gone), _same(marked, gone), "left_anti").dropDuplicates(keys)
+        out = out.join(small(twice), _same(marked, twice), "left_anti").unionByName(again)
     return out.select(*docs.columns)
 
 
@@ -297,48 +302,100 @@ def _same(a: DataFrame, b: DataFrame):  # noqa: ANN202
     return (a["__h"] == b["__h"]) & (a["__c"] == b["__c"]) & (a["__null"] == b["__null"]) & a["__id"].eqNullSafe(b["__id"])
 
 
-def shingle_sets(docs: DataFrame, key_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, s array<long>): the distinct shingles' hashes of each text."""
+def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """docs: (key, text). (node, n, f0, parity binary, wide binary, prefix array<long>) of each text with words: the number of
+    distinct shingles, the fingerprint, the parity of the number of shingles at each of 64 * BITMAP places (and, for sets
+    larger than that, at twice as many places as shingles), and so many of the least hashes that two sets of the
+    similarity have one in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                s = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.list_(pa.int64()))], ["node", "s"])
+            for at in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(at, AT_A_TIME)
+                sizes, prints, maps, wide, prefixes = [], [], [], [], []
+                for text in part.column(1).to_pylist():
+                    h = shingle_hashes(text, shingle)
+                    s = np.unique(h)
+                    n = len(s)
+                    sizes.append(n)
+                    prints.append(_majority(h))
+                    prefixes.append(s[: n - int(np.ceil(similarity * n - 1e-6)) + 1].view(np.int64))
+                    maps.append(parity(s, 64 * BITMAP))
+                    wide.append(parity(s, 1 << (2 * n - 1).bit_length()) if n > 64 * BITMAP else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["node", "n", "f0", "parity", "wide", "prefix"])
+
+    return few_rows(docs).mapInArrow(run, "node long, n int, f0 long, parity binary, wide binary, prefix array<bigint>").where("n > 0").dropDuplicates(["node"])
+
 
-    return few_rows(docs).select(key_col, text_col).mapInArrow(run, "node long, s array<bigint>").dropDuplicates(["node"])
+def parity(s: np.ndarray, places: int) -> bytes:
+    """Whether an odd number of hashes falls on each of so many places, a power of two."""
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """docs: (key, text). (node, n, b0.., prefix array<long>): the number of distinct shingles, the parity of the number of
-    them at each of 64 * BITMAP places, and so many of the least hashes that two sets of the similarity have one in
-    common."""
-    bits = [f"b{i}" for i in range(BITMAP)]
+def possible(n: int, a: bytes | None, m: int, b: bytes | None, similarity: float) -> bool:
+    """Whether sets of n and m hashes with these parities may have the similarity: parities differ in no more places than
+    the sets differ in hashes. Of unequal bitmaps the larger is folded."""
+    if a is None or b is None:
+        return True
+    x, y = (np.frombuffer(z, np.uint64) for z in (a, b))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6
+
+
+def _possible(edges: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The edges that the wide bitmaps of long texts don't rule out. So long texts meet only where they may be copies."""
+    wide = sketches.where("wide IS NOT NULL")
+    side = lambda end: wide.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}"))
+    both = edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left").select("src", "dst", "n_src", "wide_src", "n_dst", "wide_dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                sizes, prefixes, maps = [], [], []
-                for text in texts_of(part.column(1)):
-                    s = np.unique(shingle_hashes(text, shingle))
-                    n = len(s)
-                    sizes.append(n)
-                    prefixes.append(s[: n - int(np.ceil(similarity * n - 1e-6)) + 1].view(np.int64))
-                    odd = np.bincount((s & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
-                    maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-                maps = np.stack(maps)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), *(pa.array(maps[:, i].copy()) for i in range(BITMAP)), pa.array(prefixes, pa.list_(pa.int64()))], ["node", "n", *bits, "prefix"])
+            for at in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(at, AT_A_TIME)
+                keep = [possible(n, a, m, b, similarity) for n, a, m, b in zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+                yield pa.RecordBatch.from_arrays(part.columns[:2], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    return few_rows(docs).mapInArrow(run, "node long, n int, " + "".join(f"{b} long, " for b in bits) + "prefix array<bigint>").where("n > 0").dropDuplicates(["node"])
+    return stash(few_rows(both).mapInArrow(run, "src long, dst long"), "possible")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have the Jaccard similarity."""
+    least, most = sorted((len(a), len(b)))
+    if least < similarity * most:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+def _verified(edges: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (src, dst) whose texts have the similarity; docs: (key, text). Each edge meets its two texts."""
+    key, text = docs.columns
+    ends = stash(edges.select(F.col("src").alias(key)).unionByName(edges.select(F.col("dst").alias(key))).distinct(), "ends")
+    texts = stash(docs.join(small(ends), key, "left_semi").dropDuplicates([key]), "texts")
+    both = edges.join(texts.select(F.col(key).alias("src"), F.col(text).alias("a")), "src").join(texts.select(F.col(key).alias("dst"), F.col(text).alias("b")), "dst")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(at, AT_A_TIME)
+                keep = []
+                for b, x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if b != last:
+                        last, held = b, np.unique(shingle_hashes(y, shingle))
+                    keep.append(similar(np.unique(shingle_hashes(x, shingle)), held, similarity))
+                yield pa.RecordBatch.from_arrays(part.columns[:2], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return stash(few_rows(both).select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long"), "verified")
 
 
 def _proposals(table: pa.Table, low: int, high: int, similarity: float) -> pa.RecordBatch:
     """Of complete groups, for each row the rows after it that may be near copies: those in places low to high by distance,
     without those of its own component. (src, dst, more): more names, as src, a key that has candidates beyond."""
     node, size, comp, key = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "comp", "key"))
-    f = np.stack([table.column(f"b{i}").to_numpy().view(np.uint64) for i in range(BITMAP)], axis=1)
+    f = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, BITMAP)
     group = np.stack([key, *(table.column(c).to_numpy().astype(np.int64) for c in ("i", "j"))], axis=1)
     new = np.concatenate(([True], (group[1:] != group[:-1]).any(1)))
     starts = np.flatnonzero(new)
@@ -384,22 +441,33 @@ def _proposals(table: pa.Table, low: int, high: int, similarity: float) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate((e[:, 0], m))), pa.array(np.concatenate((e[:, 1], m))), pa.array(np.arange(len(e) + len(m)) >= len(e))], ["src", "dst", "more"])
 
 
-def near_pairs(docs: DataFrame, shingle: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs: (key, text). (src, dst): pairs of keys of the similarity, so many that any two such keys are connected.
+def close_pairs(docs: DataFrame, shingle: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY, block_rows: int = BLOCK_ROWS, sketches: DataFrame | None = None) -> DataFrame:
+    """docs: (key, text). (src, dst): pairs of keys of the similarity whose fingerprints meet under a key of the fuzzy hash,
+    as a forest in each bucket: sure for few differing bits, likely for more. near_groups() misses none."""
+    if sketches is None:
+        sketches = stash(fingerprints(docs, docs.columns[:1], docs.columns[1], shingle).withColumnRenamed(docs.columns[0], "node").where("f0 <> 0").dropDuplicates(["node"]), "prints")
+    forest = stash(near_links(sketches, ["node", "f0"], CANDIDATE_BITS, block_rows), "forest")
+    return _verified(forest, docs, shingle, similarity)
+
+
+def near_groups(docs: DataFrame, shingle: int = DEDUP_SHINGLE, similarity: float = DEDUP_SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs: (key, text). (node, component): the groups of keys that pairs of the similarity connect.
 
-    Sets of the similarity share one of their least hashes, so they meet under it; buckets of very many are dealt into
-    blocks, and each pair of blocks meets. Candidates, those that bitmaps and sizes cannot rule out, are taken in rounds:
-    each row's nearest, then four times as many of the next, and so on, but for those that verified pairs have connected. So copies of one text take one round, and no candidate is left out.
+    First the fuzzy hashes: fingerprints that meet under a key give a forest of candidates, and those that hold on their
+    shingles connect most copies. Golay keys vouch for a few differing bits only, and the similarity allows for more; so
+    the pairs that they miss are found by the shingles themselves. Sets of the similarity share one of their least
+    hashes, so they meet under it; keys of very many are dealt into blocks, and each pair of blocks meets. Candidates,
+    those that parity bitmaps and sizes cannot rule out and that are not connected yet, are taken in rounds: each row's
+    nearest, then STEP times as many of the next, and so on. So no candidate is left out.
     """
-    key_col, text_col = docs.columns
-    prefixes = stash(_prefixes(docs, shingle, similarity), "prefixes")
-    bits = [f"b{i}" for i in range(BITMAP)]
-    posted = prefixes.select(F.explode("prefix").alias("key"), "node", "n", *bits)
+    sketches = stash(_sketches(docs, shingle, similarity), "sketches")
+    comps = stash(connected_components(close_pairs(docs, shingle, similarity, block_rows, sketches)), "comps")
+    posted = sketches.select(F.explode("prefix").alias("key"), "node")
     blocks = F.when(F.col("count") > 2 * block_rows, F.ceil(F.col("count") / block_rows)).otherwise(1).cast("int")
     shared = stash(posted.groupBy("key").count().where("count > 1").select("key", blocks.alias("blocks")), "shared")
     met = stash(posted.join(small(shared), "key"), "met")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    verified, comps, low, high = None, None, 0, 1
+    low, high = 0, 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -420,24 +488,21 @@ def near_pairs(docs: DataFrame, shingle: int = DEDUP_SHINGLE, similarity: float
 
     while True:
         places = (low, high)
-        now = met.withColumn("comp", F.col("node")) if comps is None else met.join(small(comps), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        dealt = now.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", *bits, "comp")
+        known = sketches.select("node", "n", "parity").join(small(comps), "node", "left").select("node", "n", "parity", F.coalesce("component", "node").alias("comp"))
+        dealt = met.join(known, "node").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "parity", "comp")
         dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         found = stash(dealt.mapInArrow(run, "src long, dst long, more boolean").distinct(), "candidates")
-        edges = found.where(~F.col("more")).select("src", "dst")
-        ends = stash(edges.select(F.col("src").alias(key_col)).unionByName(edges.select(F.col("dst").alias(key_col))).distinct(), "ends")
-        sets = stash(shingle_sets(docs.join(small(ends), key_col, "left_semi"), key_col, text_col, shingle), "sets")
-        both = edges.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
-        common = F.size(F.array_intersect("a", "b"))
-        near = stash(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"), "near")
-        verified = near if verified is None else verified.unionByName(near)
+        edges = _possible(found.where(~F.col("more")).select("src", "dst"), sketches, similarity)
+        new = None if edges.isEmpty() else _verified(edges, docs, shingle, similarity)
+        if new is not None and not new.isEmpty():
+            # what is connected already is a star
+            comps = stash(connected_components(new.unionByName(comps.select(F.col("node").alias("src"), F.col("component").alias("dst")))), "comps")
         left = stash(found.where("more").select(F.col("src").alias("key")), "left")
         if left.isEmpty():
-            return verified
-        comps = stash(connected_components(verified), "comps")
+            return comps
         met = stash(met.join(small(left), "key", "left_semi"), "met")
-        low, high = high, 4 * high + 1
+        low, high = high, STEP * high + 1
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

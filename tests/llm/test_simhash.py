@@ -103,7 +103,7 @@ def test_near_dedup_against_all_pairs_about_the_threshold(spark, block, monkeypa
             texts.append(own)
     texts = [" ".join(t) for t in texts]
     label = linked([set(S.shingle_hashes(t, 5).tolist()) for t in texts])
-    monkeypatch.setattr(S.near_pairs, "__defaults__", (S.DEDUP_SHINGLE, S.DEDUP_SIMILARITY, block))
+    monkeypatch.setattr(S.near_groups, "__defaults__", (S.DEDUP_SHINGLE, S.DEDUP_SIMILARITY, block))
     got = sorted(r.doc_id for r in S.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert got == sorted(set(label))
     assert 300 < len(set(label)) - sum(label[i] == i for i in range(300)) + 300 and 0 < sum(label[i] != i for i in range(300)) < 150
@@ -115,10 +115,25 @@ def test_a_nearer_text_that_fails_hides_no_pair():
 
     far = lambda d: (1 << d) - 1
     rows = [(1, far(8)), (2, far(8) << 8), (3, 0)]
-    columns = {"key": [7] * 3, "i": [0] * 3, "j": [0] * 3, "node": [3, 1, 2], "n": [300] * 3, "b0": [0, rows[0][1], rows[1][1]], "b1": [0] * 3, "b2": [0] * 3, "b3": [0] * 3, "comp": [3, 1, 2]}
+    columns = {"key": [7] * 3, "i": [0] * 3, "j": [0] * 3, "node": [3, 1, 2], "n": [300] * 3, "parity": [x.to_bytes(8 * S.BITMAP, "little") for x in (0, rows[0][1], rows[1][1])], "comp": [3, 1, 2]}
     seen = set()
     for low, high in ((0, 1), (1, 5)):
         out = S._proposals(pa.table(columns), low, high, 0.8).to_pylist()
         seen |= {(r["src"], r["dst"]) for r in out if not r["more"]}
     assert seen == {(1, 2), (1, 3), (2, 3)}
     assert not any(r["more"] for r in out)
+
+
+def test_parities_rule_out_no_pair_of_the_similarity():
+    rng = np.random.default_rng(4)
+    out = 0
+    for n in (1500, 3000, 5000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for share in (0.0, 0.5, 0.8, 0.88, 0.9, 1.0):
+            b = np.concatenate((a[: int(n * share)], rng.integers(0, 1 << 63, int(n * (1.1 - share))).astype(np.uint64)))
+            wide = [S.parity(s, 1 << (2 * len(s) - 1).bit_length()) for s in (a, b)]
+            real = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            may = S.possible(len(a), wide[0], len(b), wide[1], 0.8)
+            assert may or not real
+            out += not may
+    assert out >= 6

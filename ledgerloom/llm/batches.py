@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,3 +25,20 @@ def texts_of(column: pa.Array) -> Iterator[str | None]:
     """The texts of a column, a few at a time, so that a batch of long ones is not held twice."""
     for at in range(0, len(column), AT_A_TIME):
         yield from column.slice(at, AT_A_TIME).to_pylist()
+
+
+class Known(dict):
+    """A table of bounded size for a worker: what is asked for is young; when the young are too many they grow old, and the
+    old of before go. So what is in use stays, however many keys pass by."""
+
+    def __init__(self, make: Callable[[str], object], young: int) -> None:
+        super().__init__()
+        self.make, self.young, self.old = make, young, {}
+
+    def __missing__(self, key: str) -> object:
+        if len(self) >= self.young:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value

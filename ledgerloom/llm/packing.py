@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import struct
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.batches import few_rows, texts_of
+from ledgerloom.llm.batches import Known, few_rows, texts_of
 from ledgerloom.plans.stash import stash
 
 VOCABULARY = "word_bpe_49k.json"
@@ -43,23 +43,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
-class Known(dict):
-    """A table of bounded size: what is asked for is young; when the young are too many they grow old, and the old of
-    before go. So what is in use stays, however many keys pass by."""
-
-    def __init__(self, make: Callable[[str], bytes], young: int) -> None:
-        super().__init__()
-        self.make, self.young, self.old = make, young, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.young:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        self[key] = value = self.make(key) if value is None else value
-        return value
-
-
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers; the same ids as the tokenizer's own encode().
 

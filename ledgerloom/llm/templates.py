@@ -6,13 +6,15 @@ template it agrees with in most positions, if these are enough, and positions th
 opens a template. A template that stands in enough documents is dropped from all of them.
 
 Copies of a whole document are no evidence of a template: documents most of whose words stand in recurring lines have one
-vote for each group of near copies (simhash.near_pairs) among them. So the lines that copies share with nothing but their
+vote for each group of near copies (simhash.close_pairs) among them. So the lines that copies share with nothing but their
 copies stay (near-duplicate removal deals with those), while a recurring line goes from copies too, and from pages that
 have little else but are no copies of one another.
 
-Only leaves with enough lines are looked into, each of them whole, however full it is: a line is compared with the
-templates that an index of runs of tokens finds, and no other template can agree with it in enough positions. Lines of fewer tokens than a minimum are left alone, as short
-sentences recur by chance.
+Only leaves with enough lines are looked into. A line is compared with the templates that an index of runs of tokens
+finds, and no other template can agree with it in enough positions. A leaf of very many lines is no group of a task: it
+is cut into runs of bounded size, each run gives its templates, and these are merged in the same way, in runs of another
+order (from the line's start, then from each quarter of it on), until every leaf is one run or no order has merged
+any more. Lines of fewer tokens than a minimum are left alone, as short sentences recur by chance.
 
 Defined cases: a null text has no lines and stays null; an empty line is no template; repeated rows, equal in id and
 text, are one document; a null doc_id is an id; a text all of whose lines go becomes empty; an empty table gives no
@@ -21,7 +23,6 @@ rows; other columns are kept by drop_templates().
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.batches import few_rows, texts_of
-from ledgerloom.llm.simhash import near_pairs
+from ledgerloom.llm.simhash import close_pairs
 from ledgerloom.operators.components import connected_components
 from ledgerloom.operators.ranking import ranked
 from ledgerloom.plans.stash import SMALL_ROWS, small, stash
@@ -41,9 +42,8 @@ from ledgerloom.plans.stash import SMALL_ROWS, small, stash
 LEADING, AGREE, DOCUMENTS, TOKENS = 2, 0.7, 10, 3
 #: Share of its words in recurring lines beyond which a document shares its vote with its near copies.
 COPIED = 0.5
-#: Lines of a leaf that are compared with one another: all. A finite number cuts fuller leaves into runs, and templates
-#: across them are lost.
-LEAF_LINES = math.inf
+#: Lines, or templates, of a leaf that a task compares with one another; and the orders of fuller leaves.
+RUN_LINES, ORDERS = 4096, 4
 WILD = "<*>"
 
 _VARIABLE = re.compile("[0-9@]|://")
@@ -93,21 +93,21 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _line_texts(docs: DataFrame) -> DataFrame:
-    """(leaf, next, mask, line): the distinct masked lines of each batch; next names the tokens after the leading ones."""
+    """(leaf, mask, line): the distinct masked lines of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, tuple[int, int, str]] = {}
+            seen: dict[int, tuple[int, str]] = {}
             for text in texts_of(batch.column(0)):
                 for line in (text or "").split("\n"):
                     tokens = masked(line)
                     if len(tokens) >= TOKENS:
                         joined = " ".join(tokens)
                         if (m := _hash(joined)) not in seen:
-                            seen[m] = (leaf_of(tokens), _hash(" ".join(tokens[LEADING : LEADING + 2])), joined)
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array(seen, pa.int64()), pa.array([v[2] for v in seen.values()], pa.string())], ["leaf", "next", "mask", "line"])
+                            seen[m] = (leaf_of(tokens), joined)
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(seen, pa.int64()), pa.array([v[1] for v in seen.values()], pa.string())], ["leaf", "mask", "line"])
 
-    return few_rows(docs).select("text").mapInArrow(run, "leaf long, next long, mask long, line string")
+    return few_rows(docs).select("text").mapInArrow(run, "leaf long, mask long, line string")
 
 
 def _segments(tokens: int, agree: float) -> list[slice]:
@@ -118,9 +118,9 @@ def _segments(tokens: int, agree: float) -> list[slice]:
     return [slice(a, b) for a, b in zip(ends, ends[1:])] if differ < tokens - LEADING else []  # noqa: B905
 
 
-def grow(lines: list[tuple[int, str]], agree: float = AGREE) -> list[tuple[int, int]]:
-    """(mask, template) of the lines of one leaf, all of one length, in their order; only lines that share a template.
-    A template is named by the mask of its first line."""
+def grow(lines: list[tuple[int, str]], agree: float = AGREE) -> tuple[list[tuple[int, int]], list[tuple[int, str]]]:
+    """Of lines of one leaf, all of one length, in their order: (mask, template) of those that share a template, and
+    (template, line) of all templates. A template is named by the mask of its first line; its line has wildcards."""
     ids: dict[str, int] = {WILD: 0}
     rows = np.array([[ids.setdefault(t, len(ids)) for t in line.split(" ")] for _, line in lines], np.int32)
     segments = _segments(rows.shape[1], agree)
@@ -147,52 +147,89 @@ def grow(lines: list[tuple[int, str]], agree: float = AGREE) -> list[tuple[int,
         kept[len(names)] = row
         names.append(mask)
         out.append((mask, mask))
-    return [(m, t) for m, t in out if t in sizes]
+    tokens = list(ids)
+    return [(m, t) for m, t in out if t in sizes], [(name, " ".join([tokens[i] for i in row])) for name, row in zip(names, kept.tolist())]  # noqa: B905
 
 
-def _runs(lines: DataFrame) -> DataFrame:
-    """lines: (g, mask, line). Adds run: 0, or each group in runs of LEAF_LINES, in the order of the texts. A line's place in
-    its group is its place in the whole order less that of the group's first line, so a hot group is in no task whole."""
-    if LEAF_LINES == math.inf:
-        return lines.select("g", F.lit(0).alias("run"), "mask", "line")
-    placed = stash(ranked(lines, "g", "line", "mask"), "placed")
-    first = small(stash(placed.groupBy("g").agg(F.min("rank").alias("first")), "first"))
-    return placed.join(first, "g").select("g", F.floor((F.col("rank") - F.col("first")) / LEAF_LINES).alias("run"), "mask", "line")
+def _ordered(line: str, order: int) -> str:
+    """The line from one of its quarters on."""
+    tokens = line.split(" ")
+    at = len(tokens) * order // ORDERS
+    return " ".join([*tokens[at:], *tokens[:at]])
 
 
-def _grown(lines: DataFrame) -> DataFrame:
-    """lines: (g, run, mask, line). (mask, template), from each run."""
+def _grown(lines: DataFrame, order: int) -> DataFrame:
+    """lines: (g, run, mask, line). From each run (mask, template) of lines that share one; and where run is not null, so
+    the leaf has several, (g, template, line) of all templates."""
     dealt = lines.repartition("g", "run").sortWithinPartitions("g", "run", "line", "mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held = (None, None), []
 
         def flush() -> pa.RecordBatch:
-            found = grow(held) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["mask", "template"])
+            found, all_ = grow([(m, x) for _, m, x in sorted((_ordered(x, order), m, x) for m, x in held)]) if len(held) > 1 else ([], held)
+            rows = [(m, t, None, None) for m, t in found] + [(None, t, at[0], x) for t, x in all_ if at[1] is not None]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 3 else pa.int64()) for i in range(4)], ["mask", "template", "g", "line"])
 
         for batch in batches:
             for g, r, mask, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (g, r) != at:
-                    if len(held) > 1:
+                    if held:
                         yield flush()
                     at, held = (g, r), []
                 held.append((mask, line))
         if held:
             yield flush()
 
-    return dealt.mapInArrow(run, "mask long, template long")
-
-
-def recurring(docs: DataFrame, documents: int = DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+    return dealt.mapInArrow(run, "mask long, template long, g long, line string")
+
+
+def _templates(lines: DataFrame, run_lines: int) -> DataFrame:
+    """lines: (g, mask, line). (mask, template) of the lines that share a template."""
+    now, order, quiet, named = stash(lines.select("g", "mask", "line"), "leaves"), 0, 0, None
+    while True:
+        full = stash(now.groupBy("g").count().where(F.col("count") > run_lines).select("g"), "full")
+        if full.isEmpty():
+            dealt, merging = now.withColumn("run", F.lit(None).cast("long")), False
+        else:
+            # a line's place in its leaf is its place in the whole order less that of the leaf's first
+            turned = now.join(small(full), "g", "left_semi").withColumn("order", _from_quarter("line", order))
+            placed = stash(ranked(turned, "g", "order", "mask"), "placed")
+            first = small(stash(placed.groupBy("g").agg(F.min("rank").alias("first")), "first"))
+            runs = placed.join(first, "g").select("g", "mask", "line", F.floor((F.col("rank") - F.col("first")) / run_lines).alias("run"))
+            dealt, merging = now.join(small(full), "g", "left_anti").withColumn("run", F.lit(None).cast("long")).unionByName(runs), True
+        out = stash(_grown(dealt.select("g", "run", "mask", "line"), order), "grown")
+        step = stash(out.where("mask IS NOT NULL").select("mask", "template"), "step")
+        if named is None:
+            named = step
+        else:
+            later = small(step.select(F.col("mask").alias("template"), F.col("template").alias("last")))
+            firsts = step.join(named.select("mask"), "mask", "left_anti")
+            named = stash(named.join(later, "template", "left").select("mask", F.coalesce("last", "template").alias("template")).unionByName(firsts), "named")
+        if not merging:
+            return named
+        now = stash(out.where("g IS NOT NULL").select("g", F.col("template").alias("mask"), "line"), "leaves")
+        quiet = 0 if step.join(now.select(F.col("mask").alias("template")), "template", "left_semi").where("mask <> template").take(1) else quiet + 1
+        if quiet == ORDERS:
+            return named
+        order = (order + 1) % ORDERS
+
+
+def _from_quarter(line: str, order: int) -> Column:
+    """_ordered() as a column."""
+    tokens = F.split(line, " ", -1)
+    at = F.floor(F.size(tokens) * order / ORDERS).cast("int")
+    return F.concat_ws(" ", F.slice(tokens, at + 1, F.size(tokens)), F.slice(tokens, F.lit(1), at))
+
+
+def recurring(docs: DataFrame, documents: int = DOCUMENTS, run_lines: int = RUN_LINES) -> tuple[DataFrame, DataFrame]:
     """docs: (k, text). (mask), the masked lines that are to be dropped wherever they stand, and (k, mask, ...) of all
     lines that recur."""
     lines = stash(_lines(docs).distinct(), "lines")
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("mask").alias("a"), F.max("mask").alias("b"))
-    full = stash(leaves.where((F.col("n") >= documents) & (F.col("a") != F.col("b"))).select("leaf", (F.col("n") > LEAF_LINES).alias("deep")), "leaves")
-    group = F.when(F.col("deep"), F.xxhash64("leaf", "next")).otherwise(F.col("leaf"))
-    texts = _line_texts(docs).join(small(full), "leaf").select(group.alias("g"), "mask", "line").dropDuplicates(["mask"])
-    grown = stash(_grown(_runs(texts)), "templates")
+    full = stash(leaves.where((F.col("n") >= documents) & (F.col("a") != F.col("b"))).select("leaf"), "leaves")
+    texts = _line_texts(docs).join(small(full), "leaf").select(F.col("leaf").alias("g"), "mask", "line").dropDuplicates(["mask"])
+    grown = _templates(texts, run_lines)
     named = stash(lines.join(small(grown), "mask", "left").select("k", "mask", "words", "total", F.coalesce("template", "mask").alias("t")).withColumn("voter", F.col("k")), "named")
 
     def often(rows: DataFrame) -> DataFrame:
@@ -213,18 +250,18 @@ def _copies(docs: DataFrame, full: DataFrame) -> DataFrame | None:
     own = docs.join(small(full), "k", "left_semi").select("k", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("h", F.xxhash64("text"))
     first = stash(own.groupBy("k").agg(F.min("h").alias("h")), "texts")
-    near = stash(connected_components(near_pairs(own.select("h", "text"))).withColumnRenamed("node", "h"), "copies")
+    near = stash(connected_components(close_pairs(own.select("h", "text"))).withColumnRenamed("node", "h"), "copies")
     return stash(first.join(small(near), "h", "left").select("k", F.coalesce("component", "h").alias("voter")), "voters")
 
 
-def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, set_lines: int = SMALL_ROWS) -> DataFrame:
+def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, set_lines: int = SMALL_ROWS, run_lines: int = RUN_LINES) -> DataFrame:
     """The documents in their own columns, the text without recurring lines, and __lines and __dropped (line numbers from 0).
 
     A line goes if its mask is one of those to be dropped. Up to set_lines masks are a broadcast set (some 70 bytes each in
     a worker), and texts are not shuffled; of more, each document gets its own by a join.
     """
     key = _key(id_col, text_col)
-    dropped, rows = recurring(docs.select(key.alias("k"), F.col(text_col).alias("text")), documents)
+    dropped, rows = recurring(docs.select(key.alias("k"), F.col(text_col).alias("text")), documents, run_lines)
     kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]
     place, spark = docs.columns.index(text_col), docs.sparkSession
     if dropped.count() <= set_lines:

@@ -28,7 +28,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 WINDOW = 2048
 #: Entries of the young half of a worker's table of known chunks, and of words. No effect on results.
-YOUNG = 200_000
+YOUNG = 120_000
 
 # Strings that the plain way below doesn't treat as the tokenizer does; texts that hold them go to the tokenizer whole.
 _ODD = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")

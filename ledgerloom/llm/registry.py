@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from ledgerloom.llm import bitsliced, chat, decontaminate, html, lm, packing, quality, simhash, spans, templates
+from ledgerloom.llm import bitsliced, chat, decontaminate, html, lm, packing, quality, sharding, simhash, spans, templates
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_html_text": html.op8_html_text,
     "op9_topk": bitsliced.op9_topk,
     "op10_sentence_spans": spans.op10_sentence_spans,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLE_SQL = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op9_topk": bitsliced.OP9_SQL,
+    "op13_sharding": sharding.OP13_SQL,
 }

@@ -59,3 +59,53 @@ def all_dates(c: Column) -> Column:
     """The dates of a text in their order; what is no date of the calendar is left out."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(DATE_IN_TEXT), F.lit(0))
     return F.filter(F.transform(found, lambda d: parse_date(d)), lambda d: d.isNotNull())
+
+
+# How the dates of a receipt are written in running text, the surest way first, and its inspection period.
+_TOKEN = r"([0-9]{4}[年./-][0-9]{1,2}[月./-][0-9]{1,2}日?)"
+ACCEPTED = (
+    _TOKEN + r"\s*为\s*(?:验收完成|期限届满|验收合格|验收确认)",
+    r"(?:验收完成|期限届满|验收合格|验收确认)\s*[/／、]?\s*(?:期限届满)?\s*[:：]?\s*" + _TOKEN,
+    _TOKEN + r".{0,16}(?:验收完成|期限届满|验收合格)",
+    r"(?:验收完成|期限届满|验收合格).{0,24}" + _TOKEN,
+)
+ARRIVED = (
+    _TOKEN + r"\s*为\s*(?:实物到货|到货日|到货事实|货物到达)",
+    r"(?:实物到货|到货日|到货事实|货物到达)\s*[:：]?\s*" + _TOKEN,
+    _TOKEN + r".{0,16}(?:实物到货|到货日|到货事实)",
+)
+RECEIVED = (r"(?:签收日期|入库日期|验收日期|收货日期|交货日期)\s*[:：]?\s*" + _TOKEN,)
+INSPECTION = (r"([0-9]+)\s*日\s*验收期", r"验收期\s*([0-9]+)\s*[日天]", r"([0-9]+)\s*[日天]\s*验收期", r"合同约定.*?([0-9]+)\s*日\s*验收")
+
+
+def _first_written(text: Column, patterns: tuple[str, ...]) -> Column:
+    return F.coalesce(*(parse_date(F.nullif(F.regexp_extract(text, p, 1), F.lit(""))) for p in patterns))
+
+
+def receipt_dates(text: Column, terms: Column | None = None) -> Column:
+    """struct<delivery_date, acceptance_date, receipt_date, source> of a receipt's text.
+
+    The receipt's date is that of acceptance; else of arrival and the days of inspection, which may stand in the payment
+    terms; else the labelled one; else, in a text that tells of a receipt, the latest of several dates or the only one.
+    Null and blank texts have none.
+    """
+    t = F.coalesce(text, F.lit(""))
+    accepted, arrived, received = (_first_written(t, p) for p in (ACCEPTED, ARRIVED, RECEIVED))
+    within = lambda c: F.coalesce(*(F.regexp_extract(c, p, 1).try_cast("int") for p in INSPECTION), payment_days(c))
+    days = within(t) if terms is None else F.coalesce(within(t), within(F.coalesce(terms, F.lit(""))))
+    computed, dates = F.date_add(arrived, days), all_dates(t)
+    told, several = t.rlike("验收|签收|入库|到货"), (F.size(dates) >= 2) & t.rlike("验收|期限届满|到货")
+    latest, earliest = F.array_max(dates), F.array_min(dates)
+    source = (
+        F.when(accepted.isNotNull(), "acceptance_completion")
+        .when(computed.isNotNull(), "arrival_plus_inspection_period")
+        .when(arrived.isNotNull() & (days >= 0), None)
+        .when(received.isNotNull(), "receipt_labeled")
+        .when(told & several, "latest_of_multiple_dates")
+        .when(told & (F.size(dates) > 0), "first_date_fallback")
+    )
+    by = lambda *cases: F.coalesce(*(F.when(source == s, c) for s, c in cases))
+    receipt = by(("acceptance_completion", accepted), ("arrival_plus_inspection_period", computed), ("receipt_labeled", received), ("latest_of_multiple_dates", latest), ("first_date_fallback", F.get(dates, F.lit(0))))
+    acceptance = by(("acceptance_completion", accepted), ("arrival_plus_inspection_period", computed), ("latest_of_multiple_dates", latest))
+    delivery = F.coalesce(arrived, by(("receipt_labeled", received), ("latest_of_multiple_dates", earliest)))
+    return F.struct(delivery.alias("delivery_date"), acceptance.alias("acceptance_date"), receipt.alias("receipt_date"), source.alias("source"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, ids
 from ledgerloom.operators import allocation, amounts, assertions, clauses, entities, sheets
 from ledgerloom.plans import canonical as C
 from ledgerloom.plans.registry import query
+from ledgerloom.plans.stash import shared_dir
 from ledgerloom.sources import files
+from ledgerloom.sources import workbooks as B
 
 # ---- sheets: the orders of each year, under titles of different length and headers of four kinds
 
@@ -310,3 +315,18 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = C.table(spark, sf_dir, "embeddings")
     put = files.upsert(v, v.where("label % 3 = 0").withColumn("label", (F.col("label") + 100).cast("int")), "vec_id")
     return files.delete(put, v.where("label % 5 = 1"), "vec_id").select("vec_id", "label")
+
+
+@query("""WITH o AS (SELECT concat('book', CAST(o_custkey % 200 AS VARCHAR), '.xlsx') AS file, * FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY file) AS n FROM o)
+SELECT file, 'orders' AS sheet, CAST(i + 1 AS INTEGER) AS "row", concat(CAST(o_orderkey AS VARCHAR), '|', o_orderstatus, '|', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '|', o_orderpriority) AS cells FROM n
+UNION ALL SELECT DISTINCT file, 'orders', 1, 'o_orderkey|o_orderstatus|day|o_orderpriority' FROM o
+UNION ALL SELECT file, 'paper', CAST(i + 21 AS INTEGER), concat('|', CAST(i AS VARCHAR), '|', CAST(o_orderkey AS VARCHAR), '|', CAST(o_custkey AS VARCHAR)) FROM n WHERE i <= 16 UNION ALL SELECT DISTINCT file, 'paper', 45, concat('|rows: ', CAST(least(n, 16) AS VARCHAR), ' of ', CAST(n AS VARCHAR)) FROM n""")
+def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in two hundred workbooks, each with a list and an official paper, written and read again."""
+    orders = C.table(spark, sf_dir, "orders").withColumns({"book": F.concat(F.lit("book"), (F.col("o_custkey") % 200).cast("string"), F.lit(".xlsx")), "day": F.to_date("o_orderdate")})
+    listed = B.sheet(orders.select("book", "o_orderkey", "o_orderstatus", "day", "o_orderpriority"), "book", "orders", 0, "o_orderkey")
+    numbered = orders.select("book", F.row_number().over(W.partitionBy("book").orderBy("o_orderkey")).alias("sample_no"), F.col("o_orderkey").alias("voucher"), F.col("o_custkey").alias("customer"))
+    path = f"{shared_dir(spark)}/ledgerloom/workbooks-{uuid.uuid4().hex}"
+    B.write_workbooks(listed.unionByName(B.paper(numbered, "book", "paper", "sample_no")), path)
+    back = B.read_workbooks(spark, path)
+    return back.select(F.regexp_extract("file", "[^/]+$", 0).alias("file"), "sheet", "row", F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))

@@ -1,7 +1,6 @@
 """Reading ledgers, voucher folders and batches, and writing tables and working papers.
 
-Paths may be in any store that Spark reads. Spreadsheets are read on the driver, a sheet at a time, as they are made by
-hand; everything else is read by the executors.
+Paths may be in any store that Spark reads; the executors read everything. Of a spreadsheet the driver sees the header.
 """
 
 from __future__ import annotations
@@ -41,16 +40,20 @@ def map_columns(columns: Iterable[str], remembered: dict[str, str] | None = None
 
 
 def read_ledger(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A ledger from CSV (UTF-8, with or without a mark in front) or a spreadsheet: all columns as text, headers trimmed,
-    rows that are blank throughout left out. Another kind of file is an error."""
+    """A ledger from CSV (UTF-8, with or without a mark in front) or a sheet of a workbook, by place or name: all columns as
+    text, headers trimmed, rows that are blank throughout left out. Another kind of file is an error."""
     low = path.lower()
     if low.endswith(".csv"):
         df = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').csv(path)
-    elif low.endswith((".xlsx", ".xls")):
-        import pandas as pd
-
-        pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
-        df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"`{c}` string" for c in pdf.columns))
+    elif low.endswith(".xlsx"):
+        from ledgerloom.sources.workbooks import read_workbooks
+
+        rows = read_workbooks(spark, path).where(F.col("place") == sheet if isinstance(sheet, int) else F.col("sheet") == sheet)
+        head = rows.orderBy("row").limit(1).collect()  # the header
+        size = rows.agg(F.max(F.size("cells")).alias("n")).first()["n"] or 0
+        names = [*(head[0]["cells"] if head else []), *[None] * size][:size]
+        body = rows.where(F.col("row") > head[0]["row"]) if head else rows
+        df = body.select(*(F.get("cells", F.lit(i)).alias((c or "").strip() or f"column{i + 1}") for i, c in enumerate(names)))
     else:
         raise ValueError(f"neither a CSV file nor a spreadsheet: {path}")
     df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.batches import AT_A_TIME, few_rows
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<""", re.S | re.I)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+# What stands in a tag after its name: a quotation mark opens a value only right after an equals sign, and only if it is
+# closed; elsewhere it is a letter like any other. Nothing is read twice.
+_INNER = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select)(?=[\s/>]|\Z){_INNER}(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_INNER})(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<""", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
+_NAMING = frozenset("class id role itemprop".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W_]")
 _SENTENCE_END = re.compile(r"""[.!?…:;。！？]["'”’»)\]]*$""")
@@ -64,8 +69,8 @@ def meaning(tag: str, attributes: str) -> tuple[str, str]:
     said = ""
     if attributes and tag not in ("html", "body"):
         kinds = set()
-        for m in _NAMES.finditer(attributes):
-            for name in m[1].strip("\"'").lower().split():
+        for m in _ATTRIBUTE.finditer(attributes):
+            for name in m[2].strip("\"'").lower().split() if m[2] and m[1].lower() in _NAMING else ():
                 words = _WORD.findall(name)
                 if STATES.isdisjoint(words):
                     kinds.update(_SAYS[w] for w in words if w in _SAYS)
@@ -86,6 +91,7 @@ class Page:
 
     def _read(self, page: str) -> None:
         stack: list[int] = [0]
+        opened: Counter[str] = Counter()  # names in the stack
         parts: list[str] = []
         linked = link = 0
 
@@ -123,21 +129,23 @@ class Page:
             elif name in BLOCKS:
                 close()
                 if m[2]:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.names[stack[i]] == name:
-                            del stack[i:]
+                    while opened[name]:
+                        last = self.names[stack.pop()]
+                        opened[last] -= 1
+                        if last == name:
                             break
                     continue
                 if name == "hr":
                     continue
                 # a paragraph ends where a block begins; an item where the next does
                 if self.names[stack[-1]] == "p" or (self.names[stack[-1]] == name and (name in ITEMS or name == "tr")):
-                    stack.pop()
+                    opened[self.names[stack.pop()]] -= 1
                 self.parents.append(stack[-1])
                 self.names.append(name)
                 self.says.append(meaning(name, m[4]))
                 self.plain.append(0)
                 stack.append(len(self.names) - 1)
+                opened[name] += 1
         if at < len(page):
             parts.append(page[at:])
         close()

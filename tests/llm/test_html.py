@@ -103,3 +103,31 @@ def test_long_pages_take_linear_time():
     assert len(H.main_text(page).split("\n")) >= 70_000
     H.min_cut(weak, [(i, i + 1, 0.4) for i in range(len(weak) - 1)])
     assert time.process_time() - began < 15
+
+
+STORY = ["First part of the story, which is told at some length.", "Second part of the story, which is no shorter than that.", "It's the last part, and it ends here for good."]
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        "title=O'Brien", 'title="it"s"', "title='it's'", "alt=5'", 'alt=5"', "data-x=\"a>b\"", "data-x='a>b \"c'", "x=a=b", "x==y", "=x", "x = 'y' z", "x= \"y z\"", 'href=/a?b="c"', "'", '"', "x=''", "x=\"\"y=''", "a'b=\"c d\"", "x=a\"b>c\"d"[:5], "/x/='q'/", "\u00a0\"",
+    ],
+)
+def test_attributes_by_the_grammar_of_html(attributes):
+    page = f"<body><article><p {attributes}>{STORY[0]}</p><p>{STORY[1]}</p><p {attributes}>{STORY[2]}</p></article></body>"
+    assert H.main_text(page).split("\n") == STORY
+
+
+def test_a_quotation_mark_hides_no_class():
+    page = f"<article title=O'Brien class=post><p>{STORY[0]}</p></article><div data-x='y' class = \"ad\" id=z'>{STORY[1]}</div>"
+    assert H.main_text(page) == STORY[0]
+
+
+@pytest.mark.parametrize("piece", ["<p x", "<p x='", '<p x="', "<p x=", "</div>", "<p>", "<div>", "<p x='a\" ", "<script ", "<!--", "<", "<a href='", "<b>x</i>", "=\"", "<p class=\"", "<ul><li>", "<style x='>"])
+def test_broken_pages_take_linear_time(piece):
+    for end in ("", '"', "'>", ">"):
+        page = piece * (1_250_000 // len(piece)) + end
+        began = time.process_time()
+        H.Page(page)
+        assert time.process_time() - began < 5, end

@@ -58,9 +58,9 @@ STATES = frozenset("has no not is with without js enabled disabled active visibl
 #: Share of a page's unlinked text beyond which an element is taken for the page's frame: if it holds an article, if not.
 MOST = (0.5, 0.8)
 
-FEATURES = ("one", "length", "linked", "sentence", "paragraph", "heading", "item", "in main", "in rest", "in frame", "in comments", "main words", "never", "wordless")
+FEATURES = ("one", "length", "linked", "sentence", "paragraph", "heading", "item", "in main", "in rest", "in frame", "in comments", "main words", "never", "wordless", "linked in main")
 #: Weights of FEATURES: log-odds of being content, fitted to the labelled pages of the tests.
-WEIGHTS = {"one": -0.5, "length": 0.61, "linked": -8.93, "sentence": 1.38, "paragraph": 2.99, "heading": 4.24, "item": 3.84, "in main": 1.6, "in rest": -8.56, "in frame": -11.18, "in comments": -10.92, "main words": 3.23, "never": -5.6, "wordless": -2.33}
+WEIGHTS = {"one": -0.48, "length": 0.58, "linked": -8.25, "sentence": 1.49, "paragraph": 2.76, "heading": 4.18, "item": 3.69, "in main": 1.65, "in rest": -8.44, "in frame": -11.15, "in comments": -10.83, "main words": 3.28, "never": -5.61, "wordless": -2.47, "linked in main": 7.24}
 NEIGHBOUR, SIBLING, SCALE = 0.4, 0.6, 1000
 
 
@@ -179,10 +179,11 @@ class Page:
     def features(self) -> np.ndarray:
         """A row of FEATURES for each block."""
         said = {a: tuple(k in a for k in ("main", "rest", "frame", "comments", "main words", "never")) for a in set(self.around)}
+        mains = {a: not a.isdisjoint(("main", "main words")) and a.isdisjoint(("rest", "frame", "comments")) for a in said}  # links that an article has itself
         end, word, rows = _SENTENCE_END.search, _LETTER.search, []
         for text, (element, share) in zip(self.texts, self.places, strict=True):
             name = self.names[element]
-            rows.append((1, min(2.0, len(text) / 100), share * share, end(text[-6:]) is not None, name == "p", name in HEADINGS, name in ITEMS, *said[self.around[element]], word(text) is None))
+            rows.append((1, min(2.0, len(text) / 100), share * share, end(text[-6:]) is not None, name == "p", name in HEADINGS, name in ITEMS, *said[self.around[element]], word(text) is None, share * share * bool(mains[self.around[element]])))
         return np.array(rows, float).reshape(-1, len(FEATURES))
 
     def edges(self) -> list[tuple[int, int, float]]:

@@ -26,11 +26,24 @@ class Maker:
     def short(self):
         return self.keep(self.sentence(1, 5))
 
-    def body(self, wrap="p", low=1, high=7):
+    def linked(self):
+        """Links that an article has itself: a list of sources, a linked sentence, links in a paragraph."""
+        kind = self.rnd.randrange(3)
+        if kind == 0:
+            return "<ul>" + "".join(f'<li><a href="/s{i}">{self.keep(self.words(2, 9).capitalize())}</a></li>' for i in range(self.rnd.randrange(1, 5))) + "</ul>"
+        if kind == 1:
+            return f'<p><a href="/r">{self.short() if self.rnd.random() < 0.3 else self.para()}</a></p>'
+        a, b, c = self.words(3, 20).capitalize(), self.words(2, 8), self.sentence(3, 20)
+        self.main.append(f"{a} {b} {c}")
+        return f'<p>{a} <a href="/x">{b}</a> {c}</p>'
+
+    def body(self, wrap="p", low=1, high=7, links=False):
         out = []
         for _ in range(self.rnd.randrange(low, high)):
             kind = self.rnd.random()
-            if kind < 0.1:
+            if links and self.rnd.random() < 0.2:
+                out.append(self.linked())
+            elif kind < 0.1:
                 out.append(f"<h2>{self.title()}</h2>")
             elif kind < 0.2:
                 out.append("<ul>" + "".join(f"<li>{self.keep(self.words(1, 8).capitalize())}</li>" for _ in range(3)) + "</ul>")
@@ -77,12 +90,12 @@ class Maker:
 
     def page(self, kind):
         wrap = {
-            "article": lambda: f"<article><h1>{self.title()}</h1>{self.body()}</article>",
-            "own header": lambda: f"<article><header><h1>{self.title()}</h1></header>{self.body()}<footer>{self.words(1, 4)}</footer></article>",
-            "main": lambda: f"<main><h1>{self.title()}</h1>{self.body()}</main>",
+            "article": lambda: f"<article><h1>{self.title()}</h1>{self.body(links=True)}</article>",
+            "own header": lambda: f"<article><header><h1>{self.title()}</h1></header>{self.body(links=True)}<footer>{self.words(1, 4)}</footer></article>",
+            "main": lambda: f"<main><h1>{self.title()}</h1>{self.body(links=True)}</main>",
             "main and ads": lambda: f'<main id="content"><h1>{self.title()}</h1>{self.body()}{self.ad()}{self.body()}</main>',
-            "divs": lambda: f'<div id="content"><h1>{self.title()}</h1>{self.body("div")}</div>',
-            "post": lambda: f'<div class="post-entry"><h2>{self.title()}</h2>{self.body()}</div>',
+            "divs": lambda: f'<div id="content"><h1>{self.title()}</h1>{self.body("div", links=True)}</div>',
+            "post": lambda: f'<div class="post-entry"><h2>{self.title()}</h2>{self.body(links=True)}</div>',
             "plain": lambda: f"<div>{self.body()}</div>",
             "bare": lambda: f"<div><p>{self.short()}</p></div>",
             "state words": lambda: f'<article class="post share-enabled has-comments"><h1>{self.title()}</h1>{self.body()}</article>',

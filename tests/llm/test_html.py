@@ -131,3 +131,8 @@ def test_broken_pages_take_linear_time(piece):
         began = time.process_time()
         H.Page(page)
         assert time.process_time() - began < 5, end
+
+
+def test_links_that_an_article_has_itself():
+    page = f"<nav><ul><li><a>Home</a></li></ul></nav><article><p>{STORY[0]}</p><ul><li><a>First source of all</a></li><li><a>Second source</a></li></ul><p><a>{STORY[1]}</a></p></article><aside><ul><li><a>Other things</a></li></ul></aside>"
+    assert H.main_text(page).split("\n") == [STORY[0], "First source of all", "Second source", STORY[1]]

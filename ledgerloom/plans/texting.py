@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates as D
+from ledgerloom.operators import boxes as B
 from ledgerloom.operators import grids as G
 from ledgerloom.operators import textfields as X
 from ledgerloom.plans import canonical as C
@@ -104,3 +105,39 @@ def receipt_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dates that a letter on each line tells of."""
     letters = C.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_LETTER).alias("text")).distinct()
     return letters.withColumn("d", D.receipt_dates(F.col("text"))).select("l_orderkey", "l_linenumber", "text", "d.*")
+
+
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+# a page for each order: its number whole, in two boxes or with more words in one; its sum in two boxes
+_PAGE = f"""CASE o_orderstatus WHEN 'F' THEN array(named_struct('t', '订单号：', 'x', 0, 'y', 0), named_struct('t', 'PO-', 'x', 45, 'y', 1), named_struct('t', CAST(o_orderkey AS STRING), 'x', 70, 'y', 0)) WHEN 'O' THEN array(named_struct('t', concat('订单号：PO-', CAST(o_orderkey AS STRING), ' 客户'), 'x', 0, 'y', 0))
+ELSE array(named_struct('t', '客户', 'x', 0, 'y', 0), named_struct('t', concat('ＰＯ－', CAST(o_orderkey AS STRING)), 'x', 50, 'y', 20)) END"""
+_TEXTS = f"SELECT o_orderkey AS doc_id, unnest(list_concat({_PAGE.replace('array(', 'list_value(').replace('named_struct(', 'struct_pack(').replace(chr(39) + 't' + chr(39) + ', ', 't := ').replace(chr(39) + 'x' + chr(39) + ', ', 'x := ').replace(chr(39) + 'y' + chr(39) + ', ', 'y := ')}, list_value(struct_pack(t := concat('合计 ¥', split_part({_SUM}, '.', 1)), x := 0, y := 60), struct_pack(t := concat('.', split_part({_SUM}, '.', 2)), x := 100, y := 61)))) AS b FROM orders"
+
+
+@query(f"""WITH b AS (SELECT doc_id, b.t AS raw, CAST(b.x AS DOUBLE) AS x0, CAST(b.y AS DOUBLE) AS y0, b.x + 20.0 AS x1, b.y + 10.0 AS y1 FROM ({_TEXTS})),
+p AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY floor(y0 / 5)) AS line, regexp_replace(lower(translate(raw, '{_WIDE}', '{_NARROW}')), '[\\s,，¥￥$]+', '', 'g') AS t FROM b),
+q AS (SELECT *, row_number() OVER w AS place, coalesce(sum(length(t)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line, x0)),
+d AS (SELECT doc_id, string_agg(t, '' ORDER BY place) AS all_ FROM q GROUP BY 1), v AS (SELECT o_orderkey AS doc_id, 'orderNo' AS field, concat('po-', CAST(o_orderkey AS VARCHAR)) AS v FROM orders UNION ALL SELECT o_orderkey, 'totalAmount', {_SUM} FROM orders),
+f AS (SELECT doc_id, field, v, instr(all_, v) - 1 AS s FROM v JOIN d USING (doc_id) WHERE contains(all_, v)), r AS (SELECT f.*, q.* EXCLUDE doc_id, x0 + (x1 - x0) * greatest(s - at_, 0) / length(t) AS l, x1 - (x1 - x0) * greatest(at_ + length(t) - s - length(v), 0) / length(t) AS r FROM f JOIN q ON q.doc_id = f.doc_id AND at_ < s + length(v) AND at_ + length(t) > s)
+SELECT doc_id, field, 0 AS page, min_by(line, place) AS line, CAST(min(place) AS INTEGER) AS "first", CAST(max(place) AS INTEGER) AS "last", min(at_) = min(s) AND max(at_ + length(t)) = min(s + length(v)) AS exact, round(min(l), 6) AS x0, min(y0) AS y0, round(max(r), 6) AS x1, CAST(max(y1) AS DOUBLE) AS y1 FROM r GROUP BY 1, 2""")
+def box_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each order's number and sum stand on its page."""
+    orders = C.table(spark, sf_dir, "orders")
+    total = f"array(named_struct('t', concat('合计 ¥', split_part({_SUM}, '.', 1)), 'x', 0, 'y', 60), named_struct('t', concat('.', split_part({_SUM}, '.', 2)), 'x', 100, 'y', 61))"
+    b = orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.expr(f"concat({_PAGE}, {total})")).alias("b"))
+    made = b.select("doc_id", F.lit(0).alias("page"), F.col("b.t").alias("text"), F.col("b.x").cast("double").alias("x0"), F.col("b.y").cast("double").alias("y0"), (F.col("b.x") + 20.0).alias("x1"), (F.col("b.y") + 10.0).alias("y1"))
+    key, no, total_of = F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("PO-"), F.col("o_orderkey").cast("string")), F.expr(_SUM)
+    values = orders.select(key, F.explode(F.array(F.struct(F.lit("orderNo").alias("field"), no.alias("value")), F.struct(F.lit("totalAmount").alias("field"), total_of.alias("value")))).alias("e")).select("doc_id", "e.*")
+    got = B.value_boxes(values, made)
+    return got.withColumns({"x0": F.round("x0", 6), "x1": F.round("x1", 6)})
+
+
+_RECT = "SELECT l_suppkey AS doc_id, 0 AS page, l_orderkey * 10 + l_linenumber AS box, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(dayofyear(l_shipdate) AS DOUBLE) AS y0, l_partkey % 500 + l_quantity AS x1, dayofyear(l_shipdate) + 5.0 * l_linenumber AS y1 FROM lineitem"
+
+
+@query(f"""WITH r AS ({_RECT}), p AS (SELECT a.doc_id, a.page, a.box AS "left", b.box AS "right", (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS u
+FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1) SELECT doc_id, page, "left", "right", round(s / (u - s), 9) AS iou FROM p WHERE s / (u - s) >= 0.3""")
+def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each supplier as rectangles, and which of them overlap by three tenths."""
+    rect = C.table(spark, sf_dir, "lineitem").selectExpr(*_RECT.removeprefix("SELECT ").removesuffix(" FROM lineitem").split(", "))
+    return B.overlaps(rect, rect, 0.3, cell=32.0).withColumn("iou", F.round("iou", 9))

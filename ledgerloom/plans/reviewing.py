@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import catalogue as K
 from ledgerloom.operators import clauses, cutoff, evidence, ledger, matching, reviews
 from ledgerloom.plans import canonical as C
 from ledgerloom.plans.queries import DATES_SQL, matched, period_end
@@ -400,3 +401,40 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = feeds.read_events(spark, folder, C.table(spark, sf_dir, "events").schema)
     feeds.run_to_table(feeds.windowed_counts(stream), out, _own(spark, "at"))
     return spark.read.parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+# ---- rules and programmes as tables; the last rule is one that a user has added as a row
+
+_ADDED = ("large_sums_are_seen", "amount_test", "order_amount", "order_amount < 400000", "WARNING")
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = C.table(spark, sf_dir, "lineitem")
+    q, a = F.col("l_quantity").cast("decimal(18,2)"), F.col("l_extendedprice").cast("decimal(18,2)")
+    is_receipt, is_invoice = F.col("l_linestatus") == "F", F.col("l_returnflag") != "R"
+    own = li.groupBy(F.col("l_orderkey").alias("business_id")).agg(
+        F.sum(q).alias("order_quantity"), F.sum(F.when(is_receipt, q)).alias("receipt_quantity"), F.sum(F.when(is_invoice, q)).alias("invoice_quantity"), F.sum(F.when(is_invoice, a)).alias("invoice_amount"),
+        F.count_if(is_receipt).alias("receipt_count"), F.count_if(is_invoice).alias("invoice_count"), F.max(F.when(is_receipt, F.to_date("l_shipdate"))).alias("receipt_date"), F.count_if(F.col("l_shipdate").isNull()).alias("foreign_count"),
+    )
+    orders = C.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("business_id"), F.lit(1).alias("order_count"), F.col("o_totalprice").cast("decimal(18,2)").alias("order_amount"), F.to_date("o_orderdate").alias("posting_date"), "o_orderpriority")
+    return orders.join(own, "business_id", "left")
+
+
+@query("""WITH l AS (SELECT l_orderkey, sum(CAST(l_quantity AS DECIMAL(18,2))) AS oq, sum(CAST(l_quantity AS DECIMAL(18,2))) FILTER (WHERE l_linestatus = 'F') AS rq, sum(CAST(l_quantity AS DECIMAL(18,2))) FILTER (WHERE l_returnflag <> 'R') AS iq, sum(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (WHERE l_returnflag <> 'R') AS ia,
+count(*) FILTER (WHERE l_linestatus = 'F') AS rc, count(*) FILTER (WHERE l_returnflag <> 'R') AS ic, max(CAST(l_shipdate AS DATE)) FILTER (WHERE l_linestatus = 'F') AS rd, count(*) FILTER (WHERE l_shipdate IS NULL) AS fc FROM lineitem GROUP BY 1),
+f AS (SELECT o_orderkey AS business_id, o_orderpriority, CAST(o_totalprice AS DECIMAL(18,2)) AS oa, CAST(o_orderdate AS DATE) AS pd, l.* FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
+w AS (SELECT *, CASE WHEN rc IS NULL THEN 3 WHEN rc > 0 AND ic > 0 THEN 4 ELSE 2 END AS docs, CASE WHEN fc IS NULL THEN 3 WHEN fc = 0 THEN 4 ELSE 1 END AS gate,
+least(CASE WHEN oq IS NULL OR rq IS NULL THEN 3 WHEN abs(oq - rq) <= 0.01 * greatest(abs(oq), abs(rq)) THEN 4 ELSE 1 END, CASE WHEN rq IS NULL OR iq IS NULL THEN 3 WHEN abs(rq - iq) <= 0.01 * greatest(abs(rq), abs(iq)) THEN 4 ELSE 1 END, CASE WHEN oa IS NULL OR ia IS NULL THEN 3 WHEN abs(oa - ia) <= 0.02 * greatest(abs(oa), abs(ia)) THEN 4 ELSE 1 END) AS tri,
+CASE WHEN rd IS NULL OR pd IS NULL THEN 3 WHEN year(rd) = year(pd) THEN 4 ELSE 1 END AS cut, CASE WHEN oa IS NULL THEN 3 WHEN oa < 400000 THEN 4 ELSE 2 END AS amt FROM f),
+p AS (SELECT business_id, o_orderpriority, unnest([struct_pack(n := 'evidence_chain', s := least(docs, CASE WHEN oa IS NOT NULL AND pd IS NOT NULL THEN 4 ELSE 2 END)), struct_pack(n := 'relations_gate4', s := gate), struct_pack(n := 'three_way', s := tri), struct_pack(n := 'three_way_cutoff', s := cut), struct_pack(n := 'amount_test', s := amt), struct_pack(n := 'contract_terms', s := 3)]) AS p FROM w),
+m(goal, assertion, progs) AS (VALUES ('gospd01010', 'occurrence', 'evidence_chain,relations_gate4,three_way'), ('gospd01010', 'accuracy', 'amount_test,three_way'), ('gospd01010', 'cutoff', 'three_way_cutoff'), ('gospd01010', 'contract_clarity', 'contract_terms'), ('gospd01030', 'cutoff', 'evidence_chain,relations_gate4,three_way_cutoff'), ('gospd01030', 'occurrence_sample', 'evidence_chain,relations_gate4'), ('gospd01030', 'ar_period', 'three_way_cutoff'))
+SELECT business_id, goal, assertion, ['FAIL', 'WARNING', 'NOT_TESTED', 'PASS'][min(p.s)] AS status, coalesce(string_agg(p.n, ',' ORDER BY p.n) FILTER (WHERE p.s = 3), '') AS untested
+FROM p JOIN m ON list_contains(string_split(progs, ','), p.n) AND (goal = 'gospd01010' OR o_orderpriority IN ('1-URGENT', '2-HIGH')) GROUP BY 1, 2, 3""")
+def programme_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's assertions under its goals, by the rules there are and one more that is given as a row."""
+    facts = _facts(spark, sf_dir)
+    added = spark.createDataFrame([_ADDED], "rule_id string, programme string, needs string, passes string, otherwise string")
+    results = K.evaluate(facts, ["business_id"], [*K.RULES, *K.rules_of(added)])
+    also = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.array(F.lit("gospd01010"), F.lit("gospd01030"))).otherwise(F.array(F.lit("gospd01010")))
+    goals = facts.select("business_id", F.explode(also).alias("goal"))
+    return K.programme_matrix(goals, results, ["business_id"]).drop("cannot_claim")

@@ -28,7 +28,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 WINDOW = 2048
 #: Entries of the young half of a worker's table of known chunks, and of words. No effect on results.
-YOUNG = 120_000
+YOUNG = 200_000
 
 # Strings that the plain way below doesn't treat as the tokenizer does; texts that hold them go to the tokenizer whole.
 _ODD = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
@@ -73,17 +73,17 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, young: int = YOUNG) -> Encoder:
     """One for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, young) not in _ENCODERS:
+        _ENCODERS[path, young] = Encoder(path, young)
+    return _ENCODERS[path, young]
 
 
-def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, young: int = YOUNG) -> DataFrame:
     """(part, before, doc_id, doc_tokens, ids): the ids of each document and its end, and its place in its partition."""
     own = few_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end = end_id.to_bytes(4, "little")
@@ -91,7 +91,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, enc = TaskContext.get().partitionId(), 0, encoder(path)
+        part, at, enc = TaskContext.get().partitionId(), 0, encoder(path, young)
         for batch in batches:
             ids = [enc.encode(t) + end for t in texts_of(batch.column(1))]
             sizes, before = [len(x) // 4 for x in ids], []
@@ -103,13 +103,13 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return own.mapInArrow(run, "part int, before long, doc_id long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, young: int = YOUNG) -> DataFrame:
     """The pieces of all documents: (doc_id, start, length, doc_tokens, sequence_id, offset, ids binary).
 
     The sequences are full but for the last; within one, offsets are gapless from 0. ids are little-endian unsigned
     32-bit numbers.
     """
-    tokens = stash(tokenised(docs, path, id_col, text_col, end_id), "tokens")
+    tokens = stash(tokenised(docs, path, id_col, text_col, end_id, young), "tokens")
     # a row for each partition of the scan: as many as it had tasks, whatever the rows
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     base = totals.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -35,7 +35,13 @@ def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("id", numbers.parse_number(F.col("raw")).alias("number"))
 
 
-@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS found, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 97 END AS days FROM orders""")
+_SIGNED = """concat('signed on ', CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%-m/%-d') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') WHEN 3 THEN strftime(o_orderdate, '%-m/%-d/%Y') ELSE strftime(o_orderdate, '%Y年%-m月%-d日') END, ' by both')"""
+_YEAR_FIRST, _EIGHT, _YEAR_LAST = r"([12][0-9]{3})\s*[-/.年]\s*([0-9]{1,2})\s*[-/.月]\s*([0-9]{1,2})", "(?:^|[^0-9])([12][0-9]{3})([01][0-9])([0-3][0-9])(?:[^0-9]|$)", "(?:^|[^0-9])([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([12][0-9]{3})"
+_MADE = "(CASE WHEN regexp_matches(text, '{p}') THEN TRY_CAST(concat_ws('-', regexp_extract(text, '{p}', {y}), lpad(regexp_extract(text, '{p}', {m}), 2, '0'), lpad(regexp_extract(text, '{p}', {d}), 2, '0')) AS DATE) END)"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS id, {_SIGNED} AS text, CASE WHEN o_orderkey % 2 = 0 THEN concat('within ', CAST(o_orderkey % 97 AS VARCHAR), ' days') ELSE 'at sight' END AS terms FROM orders)
+SELECT id, CAST(coalesce({_MADE.format(p=_YEAR_FIRST, y=1, m=2, d=3)}, {_MADE.format(p=_EIGHT, y=1, m=2, d=3)}, {_MADE.format(p=_YEAR_LAST, y=3, m=1, d=2)}) AS VARCHAR) AS found, TRY_CAST(regexp_extract(terms, '([0-9]+)\\s*(?:天|日|days?)', 1) AS BIGINT) AS days FROM t""")
 def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written in five ways are read back as the date; payment days out of descriptions of terms."""
     d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 5
@@ -48,10 +54,14 @@ def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- entities: the population is every seventh order; its aliases are its number and its customer's invoice series
 
 
-def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    return C.table(spark, sf_dir, "orders").where(k % 7 == 0).select(name("SO-", k + 100000).alias("business_id"), F.array(name("PO-", k + 200000)).alias("order_numbers"), F.array(name("INV-", F.col("o_custkey") + 3000000)).alias("invoice_numbers"))
+    return orders.select(name("SO-", k + 100000).alias("business_id"), F.array(name("PO-", k + 200000)).alias("order_numbers"), F.array(name("INV-", F.col("o_custkey") + 3000000)).alias("invoice_numbers"))
+
+
+def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(C.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"))
 
 
 _POPULATION = """pop AS (SELECT 'SO-' || (o_orderkey + 100000) AS business_id, 'PO-' || (o_orderkey + 200000) AS po, 'INV-' || (o_custkey + 3000000) AS inv FROM orders WHERE o_orderkey % 7 = 0),
@@ -60,9 +70,10 @@ idx AS (SELECT alias, min(kind) AS kind, min(value) AS value, min(owner) AS owne
   UNION ALL SELECT business_id, 'order_number', po, replace(po, '-', '') FROM pop UNION ALL SELECT business_id, 'invoice_number', inv, replace(inv, '-', '') FROM pop) GROUP BY 1)"""
 
 
-@query("WITH " + _POPULATION + " SELECT alias, kind, value, owner, owners FROM idx WHERE owners > 1")
+@query("WITH " + _POPULATION.replace(" WHERE o_orderkey % 7 = 0", "") + " SELECT alias, kind, value, owner, owners FROM idx WHERE owners > 1")
 def alias_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.alias_index(_population(spark, sf_dir)).where("owners > 1")
+    """Over all orders."""
+    return entities.alias_index(_named(C.table(spark, sf_dir, "orders"))).where("owners > 1")
 
 
 # events as documents: what they declare, and a text that names something

@@ -106,17 +106,27 @@ def inherit(anchors: DataFrame, references: DataFrame, doc: str = "doc_id", ref:
     return known.select(F.col("d").alias(doc), F.col("b").alias(business), F.col("s").alias("status"))
 
 
+#: Digits of a cut-off key that is looked for in all jobs.
+LEAST_DIGITS = 5
+
+
 def key_merges(keys: DataFrame, key: str = "key", job: str | None = None) -> DataFrame:
     """(src, dst): pairs of normalised keys that name one business: a key and those of its family that it is a cut-off
     beginning of (dashes aside), and, where a job has one order number (SO) and one contract number (HT), these two.
 
-    A key meets the others by its beginnings, a few for each, so no two keys are compared that share none.
+    With jobs, a key is a beginning of keys of its own job only. Without, it must have LEAST_DIGITS digits, so that a scan
+    cut off after "SO" or "SO25" does not make one business of all. A key meets the others by its beginnings, a few for
+    each, so no two keys are compared that share none.
     """
     n = normalize_id(F.col(key))
     own = stash(keys.select(n.alias("key"), compact_id(F.col(key)).alias("id"), *([F.col(job).alias("job")] if job else [])).where("id <> ''"), "merge_keys")
-    ids = own.select("key", "id").distinct()
-    starts = ids.where(F.length("id") > 2).select(F.col("key").alias("dst"), F.explode(F.sequence(F.lit(2), F.length("id") - 1)).alias("n"), "id")
-    cut_off = starts.select("dst", F.left("id", F.col("n")).alias("id")).join(ids.withColumnRenamed("key", "src"), "id").select("src", "dst")
+    by = ["job"] if job else []
+    ids = own.select("key", "id", *by).distinct()
+    starts = ids.where(F.length("id") > 2).select(*by, F.col("key").alias("dst"), F.explode(F.sequence(F.lit(2), F.length("id") - 1)).alias("n"), "id")
+    starts = starts.select(*by, "dst", F.left("id", F.col("n")).alias("id"))
+    if job is None:
+        starts = starts.where(F.length(F.regexp_replace("id", "[^0-9]", "")) >= LEAST_DIGITS)
+    cut_off = starts.join(ids.withColumnRenamed("key", "src"), ["id", *by]).select("src", "dst").distinct()
     if job is None:
         return cut_off
     kind = F.when(F.startswith("id", F.lit("SO")), "so").when(F.contains("id", F.lit("HT")), "ht")

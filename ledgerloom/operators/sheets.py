@@ -65,16 +65,20 @@ def find_headers(cells: DataFrame, rows: int = HEADER_ROWS) -> DataFrame:
     """
     known = STRONG + SECONDARY + BARRED + tuple(x for hints in ROLES.values() for x in hints)
     tried = cells.where(F.col("row") <= rows).where((F.size(F.filter("cells", lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")) >= 2) & F.exists("cells", lambda x: header_says(x, known)))
-    # a few rows a sheet
     tried = stash(tried.select("sheet", F.col("row").alias("header_row"), F.transform("cells", lambda x: F.trim(F.coalesce(x, F.lit("")))).alias("headers")), "tried")
-    body = cells.where(F.exists("cells", _filled)).join(small(tried), "sheet").where(F.col("row") > F.col("header_row"))
-    values = body.select("sheet", "header_row", "cells", F.posexplode("headers").alias("i", "header")).where("header <> ''")
-    v = F.get("cells", F.col("i"))
-    by_value = values.select("sheet", "header_row", "i", "header", F.when(usable_key(v), normalize_id(v)).alias("v")).groupBy("sheet", "header_row", "i", "header", "v").agg(F.count("*").alias("n"))
-    got = by_value.groupBy("sheet", "header_row", "i", "header").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("usable"), F.count("v").alias("distinct"),
-        F.bool_and(F.coalesce(F.col("v").rlike(r"^[0-9]+(?:\.0+)?$"), F.lit(True))).alias("digits"), F.sum(F.length("v") * F.col("n")).alias("chars"),
-    )
+    # every cell is counted once: for each place of a header, how often a value stands below it
+    under, filled = range(1, rows + 1), cells.where(F.exists("cells", _filled))
+    below = lambda h: F.count_if(F.col("row") > h)
+    sizes = filled.groupBy("sheet").agg(F.array(*map(below, under)).alias("sizes"))
+    values = filled.select("sheet", "row", F.posexplode("cells").alias("i", "v")).select("sheet", "row", "i", F.when(usable_key(F.col("v")), normalize_id(F.col("v"))).alias("v")).where("v IS NOT NULL")
+    by_value = values.groupBy("sheet", "i", "v").agg(*(below(h).alias(f"n{h}") for h in under))
+    plain = F.col("v").rlike(r"^[0-9]+(?:\.0+)?$")
+    of = lambda n: F.struct(F.sum(n).alias("usable"), F.count_if(F.col(n) > 0).alias("distinct"), F.coalesce(F.bool_and(F.when(F.col(n) > 0, plain)), F.lit(True)).alias("digits"), F.sum(F.length("v") * F.col(n)).alias("chars"))
+    counted = by_value.groupBy("sheet", "i").agg(F.array(*(of(f"n{h}") for h in under)).alias("c"))
+    named = tried.select("sheet", "header_row", F.posexplode("headers").alias("i", "header")).where("header <> ''")
+    at = F.col("header_row") - 1
+    got = named.join(sizes, "sheet").join(counted, ["sheet", "i"], "left").select("sheet", "header_row", "i", "header", F.get("sizes", at).alias("rows"), F.get("c", at).alias("c")).where("rows > 0")
+    got = got.select("sheet", "header_row", "i", "header", "rows", *(F.coalesce(f"c.{c}", F.lit(0)).alias(c) for c in ("usable", "distinct", "chars")), F.coalesce("c.digits", F.lit(True)).alias("digits"))
     got = got.withColumns({"tier": tier(F.col("header")), "fill": F.col("usable") / F.col("rows"), "unique": F.when(F.col("usable") > 0, F.col("distinct") / F.col("usable")).otherwise(0.0)})
     by_name = (F.col("usable") > 0) & (F.col("fill") >= 0.5) & ((F.col("tier") == 3) | ((F.col("tier") == 2) & (F.col("unique") >= 0.9)))
     by_values = (F.col("tier") == 0) & (F.col("usable") >= 2) & (F.col("fill") >= 0.8) & (F.col("unique") >= 0.98) & ~F.col("digits") & (F.col("chars") <= 40 * F.col("usable"))

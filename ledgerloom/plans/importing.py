@@ -191,8 +191,8 @@ def evidence_line_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- groups whose keys are cut off, or the only ones of their job
 
 _KEYS = """k AS (SELECT o_orderkey AS d, o_custkey AS job, 'SO25-' || (o_orderkey + 1000000) AS key FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, o_custkey, left('SO25-' || (o_orderkey + 1000000), 11) FROM orders WHERE o_orderkey % 5 = 1 UNION ALL SELECT o_orderkey, o_custkey, 'HT25-' || (o_custkey + 50000) FROM orders WHERE o_orderkey % 3 = 0),
-i AS (SELECT DISTINCT key, replace(key, '-', '') AS c FROM k),
-m AS (SELECT a.key AS x, b.key AS y FROM (SELECT key, c, unnest(range(2, length(c))) AS n FROM i) b JOIN i a ON a.c = left(b.c, b.n)
+i AS (SELECT DISTINCT key, replace(key, '-', '') AS c FROM k), j AS (SELECT DISTINCT job, key, replace(key, '-', '') AS c FROM k),
+m AS (SELECT a.key AS x, b.key AS y FROM (SELECT job, key, c, unnest(range(2, length(c))) AS n FROM j) b JOIN j a ON a.job = b.job AND a.c = left(b.c, b.n)
   UNION SELECT x, y FROM (SELECT job, min(CASE WHEN key LIKE 'SO%' THEN key END) AS x, min(CASE WHEN key LIKE 'HT%' THEN key END) AS y, count(DISTINCT CASE WHEN key LIKE 'SO%' THEN key END) AS a, count(DISTINCT CASE WHEN key LIKE 'HT%' THEN key END) AS b FROM k GROUP BY 1) WHERE a = 1 AND b = 1),
 e AS (SELECT x, y FROM m UNION SELECT y, x FROM m UNION SELECT a.key, b.key FROM k a JOIN k b ON a.d = b.d AND a.key <> b.key),
 r(a, b) AS (SELECT key, key FROM i UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),

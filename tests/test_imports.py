@@ -57,6 +57,11 @@ def test_keys_that_are_one(spark):
     merged = {r.doc_id: r.group for r in entities.business_groups(keys, merges=entities.key_merges(keys, job="job")).collect()}
     assert merged == {1: "SO25-0021", 2: "SO25-0021", 3: "HT25-0001", 4: "SO25-7777", 5: "SO25-7777", 6: "SO25-7777"}
 
+    # a scan cut off after the prefix joins nothing; across jobs a beginning must have enough digits to name one order
+    cut = spark.createDataFrame([(1, "a", "SO"), (2, "a", "SO25"), (3, "b", "SO25-0021"), (4, "c", "SO25-002"), (5, "d", "SO25-0099")], "doc_id int, job string, key string")
+    assert {tuple(r) for r in entities.key_merges(cut).collect()} == {("SO25-002", "SO25-0021")}
+    assert {tuple(r) for r in entities.key_merges(cut, job="job").collect()} == {("SO", "SO25")}
+
 
 def test_worst_status(spark):
     rows = [("a", "PASS"), ("a", "CONFLICT"), ("b", "PASS_WITH_WARNING"), ("b", "odd"), ("c", None)]

@@ -69,3 +69,37 @@ def comparison_status(concepts: DataFrame, lines: DataFrame, issues: DataFrame,
     three_way = F.when((F.col("three") == "PASS") & F.coalesce("warned", F.lit(False)), "PASS_WITH_WARNING").otherwise(F.col("three"))
     cut = F.when(F.upper("cut") == "FAIL", "CONFLICT").when(F.upper("cut") == "PASS", "PASS").otherwise("NOT_TESTED")
     return wide.select(chain, three_way.alias("three_way_status"), cut.alias("cutoff_status"), F.when(cut == "CONFLICT", "CONFLICT").otherwise(three_way).alias("overall_status"))
+
+
+# What a paper calls the documents that bear out a price, and whether there is one.
+DOCUMENT_LABELS = {"order": "销售订单", "invoice": "增值税发票/商业发票", "payment": "银行回款单", "delivery": "销售发货单", "receipt": "客户签收/验收单"}
+APPLICABLE, NOT_APPLICABLE = "Applicable 适用", "Not applicable 不适用"
+# Words of goods and of services in a contract, issues that make a price variable, and what a paper says.
+GOODS, SERVICES = ("销售", "交付", "商品", "货物", "产品"), ("安装", "调试", "培训", "技术支持", "服务", "驻场", "维保")
+VARIABLE_ISSUES = ("VARIABLE_CONSIDERATION_UNRESOLVED", "REBATE_TERM_AMBIGUOUS", "CONSIDERATION_FORMULA_AMBIGUOUS")
+CRITERIA_NOT_MET = "Criteria not met不满足标准"
+
+
+def other_files(businesses: DataFrame, docs: DataFrame, group: str = "business_id", **names: str) -> DataFrame:
+    """(group, applicable, file_type, file_index, has_amount) of every business: the document that bears out its price under
+    the paper's names, or that there is none."""
+    best = businesses.select(group).distinct().join(price_document(docs, group, **names), group, "left")
+    label = F.create_map(*(F.lit(x) for kv in DOCUMENT_LABELS.items() for x in kv))
+    return best.select(group, F.when(F.col("file_type").isNotNull(), APPLICABLE).otherwise(NOT_APPLICABLE).alias("applicable"), F.coalesce(F.try_element_at(label, "file_type"), F.lit("")).alias("file_type"), F.coalesce(F.col("file_index").cast("string"), F.lit("")).alias("file_index"), F.coalesce("has_amount", F.lit(False)).alias("has_amount"))
+
+
+def allocation_criteria(contract: Column, codes: Column) -> Column:
+    """struct<met, label, several, variable>: whether a discount may be allocated to some obligations only. That takes
+    evidence of three kinds that no document here gives, so the criteria are not met; several says that the contract tells
+    of goods and services both, variable that an issue makes its price variable: both are to be looked at by a person."""
+    holds = lambda words: F.coalesce(contract.rlike("|".join(words)), F.lit(False))
+    variable = F.coalesce(F.arrays_overlap(codes, F.array(*map(F.lit, VARIABLE_ISSUES))), F.lit(False))
+    return F.struct(F.lit(False).alias("met"), F.lit(CRITERIA_NOT_MET).alias("label"), (holds(GOODS) & holds(SERVICES)).alias("several"), variable.alias("variable"))
+
+
+def allocation_steps(price: Column, amount_status: Column, gaps: Column) -> Column:
+    """Whether all steps of the allocation's test found nothing: no with a gap, a wrong price or a failed amount; yes with a
+    right price and an amount that passed or was not asked for; else open."""
+    no = (gaps > 0) | F.coalesce(~price, F.lit(False)) | F.coalesce(amount_status == "FAIL", F.lit(False))
+    yes = F.coalesce(price, F.lit(False)) & (amount_status.isNull() | amount_status.isin("PASS", "SKIPPED"))
+    return F.when(no, False).when(yes, True)

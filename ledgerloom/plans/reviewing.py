@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import assertions, clauses, cutoff, decisions, evidence, ledger, matching, reviews
 from ledgerloom.operators import catalogue as K
-from ledgerloom.operators import clauses, cutoff, evidence, ledger, matching, reviews
 from ledgerloom.plans import canonical as C
 from ledgerloom.plans.queries import DATES_SQL, matched, period_end
 from ledgerloom.plans.registry import query
@@ -438,3 +438,60 @@ def programme_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     also = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.array(F.lit("gospd01010"), F.lit("gospd01030"))).otherwise(F.array(F.lit("gospd01010")))
     goals = facts.select("business_id", F.explode(also).alias("goal"))
     return K.programme_matrix(goals, results, ["business_id"]).drop("cannot_claim")
+
+
+# ---- decisions on the lines' events, and what follows from them
+
+_DECIDED = """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS chain_id, ['DECIDE_ADVISORY', 'REVIEW_FIELD', 'DECIDE_FINDING', 'REVIEW_SAMPLE', 'REVIEW_EVIDENCE', 'REVIEW_SAMPLE', 'DECIDE_ADVISORY'][l_linenumber] AS action_kind, CASE WHEN l_shipdate < TIMESTAMP '1996-01-01' AND l_linenumber = 5 THEN 'MISSING_DOCUMENT' ELSE 'OTHER' END AS event_type,
+CASE l_returnflag WHEN 'A' THEN 'ACCEPT_AI' WHEN 'R' THEN CASE WHEN l_linenumber <= 2 THEN 'MANUAL_VALUE' ELSE 'AUDIT_FAIL' END ELSE CASE WHEN l_linenumber IN (4, 6) THEN 'FALSE_NEGATIVE' ELSE 'DOCUMENT_ISSUE' END END AS decision, CASE WHEN l_discount > 0.02 THEN 'seen' ELSE '' END AS reason,
+CASE WHEN l_tax > 0.01 THEN CAST(l_partkey AS VARCHAR) END AS value, CASE WHEN l_tax < 0.07 THEN concat('f', CAST(l_orderkey AS VARCHAR)) END AS file_name, l_quantity FROM lineitem"""
+
+
+@query(f"""WITH d AS ({_DECIDED}), one AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY l_quantity, decision, reason, value, file_name) = 1),
+p AS (SELECT *, value IS NOT NULL AND decision = 'MANUAL_VALUE' AS puts, CASE WHEN decision IN ('AUDIT_FAIL', 'FALSE_NEGATIVE', 'DOCUMENT_ISSUE') AND reason = '' THEN 'REASON_MISSING' WHEN decision = 'MANUAL_VALUE' AND value IS NULL THEN 'VALUE_MISSING' WHEN event_type = 'MISSING_DOCUMENT' THEN 'UPLOAD_NEEDED'
+WHEN NOT CASE action_kind WHEN 'DECIDE_ADVISORY' THEN decision IN ('ACCEPT_AI', 'OVERRIDE', 'MANUAL_VALUE') WHEN 'REVIEW_FIELD' THEN decision IN ('ACCEPT_AI', 'OVERRIDE', 'MANUAL_VALUE') WHEN 'DECIDE_FINDING' THEN decision IN ('AUDIT_FAIL', 'DOCUMENT_ISSUE') WHEN 'REVIEW_EVIDENCE' THEN decision = 'DOCUMENT_ISSUE' ELSE decision IN ('CORRECT', 'FALSE_NEGATIVE', 'ACCEPT_AI', 'AUDIT_FAIL', 'DOCUMENT_ISSUE') END THEN 'NOT_ALLOWED'
+WHEN value IS NOT NULL AND decision = 'MANUAL_VALUE' AND file_name IS NULL THEN 'NO_PLACE' END AS problem FROM one)
+SELECT 'record' AS kind, CAST(id AS VARCHAR) AS id, coalesce(problem, 'RESOLVED') AS what FROM p UNION ALL SELECT 'finding', concat('qf:', CAST(id AS VARCHAR)), reason FROM p WHERE problem IS NULL AND action_kind = 'REVIEW_SAMPLE' AND decision IN ('FALSE_NEGATIVE', 'AUDIT_FAIL')
+UNION ALL SELECT 'value', file_name, value FROM p WHERE problem IS NULL AND puts UNION ALL SELECT 'advice', concat('c', CAST(id AS VARCHAR)), CASE WHEN decision = 'ACCEPT_AI' THEN 'VERIFIED' ELSE 'REJECTED' END FROM p WHERE problem IS NULL AND action_kind = 'DECIDE_ADVISORY'
+UNION ALL SELECT DISTINCT 'stale', CAST(chain_id AS VARCHAR), unnest(CASE WHEN action_kind = 'REVIEW_SAMPLE' AND decision IN ('FALSE_NEGATIVE', 'AUDIT_FAIL') THEN ['conclusion', 'workbook'] WHEN puts AND action_kind = 'REVIEW_FIELD' THEN ['fields', 'evidence', 'tests', 'conclusion', 'workbook'] ELSE ['tests', 'conclusion', 'workbook'] END) FROM p WHERE problem IS NULL AND (puts OR action_kind <> 'DECIDE_ADVISORY' OR decision = 'ACCEPT_AI') AND (puts OR action_kind <> 'REVIEW_FIELD')""")
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision on an event of every line: what is recorded, found, put, advised and stale."""
+    kinds = F.array(*map(F.lit, ["DECIDE_ADVISORY", "REVIEW_FIELD", "DECIDE_FINDING", "REVIEW_SAMPLE", "REVIEW_EVIDENCE", "REVIEW_SAMPLE", "DECIDE_ADVISORY"]))
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber")
+    li = C.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + n).alias("id"), F.col("l_orderkey").alias("chain_id"), F.get(kinds, n - 1).alias("action_kind"), F.when((F.col("l_shipdate") < "1996-01-01") & (n == 5), "MISSING_DOCUMENT").otherwise("OTHER").alias("event_type"),
+        F.when(flag == "A", "ACCEPT_AI").when(flag == "R", F.when(n <= 2, "MANUAL_VALUE").otherwise("AUDIT_FAIL")).when(n.isin(4, 6), "FALSE_NEGATIVE").otherwise("DOCUMENT_ISSUE").alias("decision"), F.when(F.col("l_discount") > 0.02, "seen").otherwise("").alias("reason"),
+        F.when(F.col("l_tax") > 0.01, F.col("l_partkey").cast("string")).alias("value"), F.when(F.col("l_tax") < 0.07, F.concat(F.lit("f"), F.col("l_orderkey").cast("string"))).alias("file_name"), "l_quantity",
+    )
+    nulls_last = F.struct(F.col("l_quantity"), "decision", "reason", F.col("value").isNull().alias("a"), "value", F.col("file_name").isNull().alias("b"), "file_name")
+    one = li.groupBy("id").agg(F.min_by(F.struct("chain_id", "action_kind", "event_type", "decision", "reason", "value", "file_name"), nulls_last).alias("o")).select(F.col("id").cast("string").alias("event_id"), "o.*")
+    of = F.when(F.col("action_kind").isin("DECIDE_ADVISORY"), F.concat(F.lit("advisory:c"), "event_id")).otherwise("rule")
+    events = one.select("event_id", "chain_id", "event_type", "action_kind", of.alias("source_ref"), "file_name", F.lit("quantity").alias("field_name"), F.lit("a").alias("observed"), F.lit("b").alias("suggested"), F.when(F.col("action_kind") != "REVIEW_FIELD", F.array(F.lit("tests"))).alias("invalidates"))
+    made = decisions.effects(events, one.select("event_id", F.lit(1).alias("seq"), "decision", "reason", F.lit("me").alias("operator"), "value"))
+    row = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).cast("string").alias("id"), b.alias("what"))
+    out = row(made.records, "record", "event_id", F.coalesce("problem", "state")).unionByName(row(made.findings, "finding", "finding_id", F.col("reason"))).unionByName(row(made.values, "value", "file_name", F.col("value")))
+    return out.unionByName(row(made.advice, "advice", "candidate_id", F.col("status"))).unionByName(row(made.stale, "stale", "chain_id", F.col("stage")))
+
+
+_ALLOCATED = "SELECT o_orderkey AS business_id, CASE o_orderstatus WHEN 'F' THEN '销售商品并提供安装' WHEN 'O' THEN '交付货物' END AS contract, CASE o_orderpriority WHEN '1-URGENT' THEN 'REBATE_TERM_AMBIGUOUS' WHEN '2-HIGH' THEN 'CONTRACT_MISSING' END AS code, CASE WHEN o_totalprice > 300000 THEN false WHEN o_totalprice > 50000 THEN true END AS price, CASE o_orderpriority WHEN '1-URGENT' THEN 'PASS' WHEN '3-MEDIUM' THEN 'FAIL' WHEN '5-LOW' THEN 'WARNING' END AS amount, CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS gaps FROM orders"
+
+
+@query(f"""WITH a AS ({_ALLOCATED}), l AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS id, ['payment', 'contract', 'receipt', 'order', 'invoice', 'delivery', 'other'][l_suppkey % 7 + 1] AS kind, CASE WHEN l_quantity > 10 THEN l_extendedprice END AS amount FROM lineitem),
+b AS (SELECT * FROM l WHERE kind NOT IN ('contract', 'other') QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY list_position(['order', 'invoice', 'payment', 'delivery', 'receipt'], kind), id, amount IS NOT NULL) = 1)
+SELECT business_id, CASE WHEN kind IS NULL THEN 'Not applicable 不适用' ELSE 'Applicable 适用' END AS applicable, coalesce(CASE kind WHEN 'order' THEN '销售订单' WHEN 'invoice' THEN '增值税发票/商业发票' WHEN 'payment' THEN '银行回款单' WHEN 'delivery' THEN '销售发货单' WHEN 'receipt' THEN '客户签收/验收单' END, '') AS file_type, coalesce(CAST(id AS VARCHAR), '') AS file_index, coalesce(b.amount IS NOT NULL, false) AS has_amount,
+coalesce(contract = '销售商品并提供安装', false) AS several, coalesce(code = 'REBATE_TERM_AMBIGUOUS', false) AS variable, CASE WHEN gaps > 0 OR price = false OR a.amount = 'FAIL' THEN false WHEN price AND (a.amount IS NULL OR a.amount = 'PASS') THEN true END AS all_steps FROM a LEFT JOIN b ON l_orderkey = business_id""")
+def price_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that bears out each order's price, and the assertions on its allocation."""
+    kinds = F.array(*map(F.lit, ["payment", "contract", "receipt", "order", "invoice", "delivery", "other"]))
+    ident = F.col("l_partkey") * 10 + F.col("l_linenumber")
+    docs = C.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("business_id"), ident.alias("doc_id"), F.get(kinds, (F.col("l_suppkey") % 7).cast("int")).alias("doc_type"), ident.cast("string").alias("number"), F.when(F.col("l_quantity") > 10, F.col("l_extendedprice")).alias("amount"))
+    docs = docs.groupBy("business_id", "doc_type", "doc_id").agg(F.min_by(F.struct("number", "amount"), F.col("amount").isNotNull()).alias("d")).select("business_id", "doc_type", "doc_id", "d.*")
+    own = C.table(spark, sf_dir, "orders").selectExpr(*_split_columns(_ALLOCATED))
+    codes = F.array_compact(F.array("code"))
+    made = own.select("business_id", assertions.allocation_criteria(F.col("contract"), codes).alias("c"), assertions.allocation_steps(F.col("price"), F.col("amount"), F.col("gaps")).alias("all_steps"))
+    return assertions.other_files(own, docs).join(made, "business_id").select("business_id", "applicable", "file_type", "file_index", "has_amount", "c.several", "c.variable", "all_steps")
+
+
+def _split_columns(select: str) -> list[str]:
+    """The columns of a SELECT whose expressions hold no commas."""
+    return select.removeprefix("SELECT ").rpartition(" FROM ")[0].split(", ")

@@ -42,9 +42,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences (operator 7). The workers hold what earlier stages have left in them, so their
-    tables of known chunks are smaller here."""
-    return packing.digests(packing.pack(docs, packing.vocabulary_path(), young=120_000))
+    """The pieces of the packed sequences (operator 7). The workers serve all stages, so their tables of known chunks are
+    smaller here and go with each partition."""
+    return packing.digests(packing.pack(docs, packing.vocabulary_path(), young=40_000, keep=False))
 
 
 STAGES = [

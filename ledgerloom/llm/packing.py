@@ -83,8 +83,9 @@ def encoder(path: str, young: int = YOUNG) -> Encoder:
     return _ENCODERS[path, young]
 
 
-def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, young: int = YOUNG) -> DataFrame:
-    """(part, before, doc_id, doc_tokens, ids): the ids of each document and its end, and its place in its partition."""
+def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, young: int = YOUNG, keep: bool = True) -> DataFrame:
+    """(part, before, doc_id, doc_tokens, ids): the ids of each document and its end, and its place in its partition.
+    keep: whether a worker keeps its encoder for its next partition, or makes another one."""
     own = few_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end = end_id.to_bytes(4, "little")
 
@@ -99,17 +100,19 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 before.append(at)
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "doc_tokens", "ids"])
+        if not keep:
+            _ENCODERS.pop((path, young), None)
 
     return own.mapInArrow(run, "part int, before long, doc_id long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, young: int = YOUNG) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, young: int = YOUNG, keep: bool = True) -> DataFrame:
     """The pieces of all documents: (doc_id, start, length, doc_tokens, sequence_id, offset, ids binary).
 
     The sequences are full but for the last; within one, offsets are gapless from 0. ids are little-endian unsigned
     32-bit numbers.
     """
-    tokens = stash(tokenised(docs, path, id_col, text_col, end_id, young), "tokens")
+    tokens = stash(tokenised(docs, path, id_col, text_col, end_id, young, keep), "tokens")
     # a row for each partition of the scan: as many as it had tasks, whatever the rows
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     base = totals.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from ledgerloom.llm import lm as L
 
 
@@ -102,3 +104,24 @@ def test_empty_and_unlearnt(spark):
     assert L.score(spark.createDataFrame([], schema)).count() == 0
     (r,) = L.score(spark.createDataFrame([(None, "a b")], schema)).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (False, 3, 0, 0, 0.0)
+
+
+def test_a_batch_sorts_its_hashes_and_no_more():
+    import time
+
+    rng = np.random.default_rng(2)
+    b = L.Batch(iter([b" ".join(b"w%d" % x for x in rng.integers(0, 200_000, 800_000))]))
+    both, learn = np.concatenate((b.single, b.pair)), np.ones(1, bool)
+
+    def took(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    keys = b.keys()
+    assert np.array_equal(keys, np.unique(both))
+    distinct, times = np.unique(b.pair, return_counts=True)
+    assert np.array_equal(b.counts(keys, learn)[np.searchsorted(keys, distinct)], times)
+    assert np.array_equal(keys[b.places(keys)[2]], b.pair)
+    # some 2 times the sort itself; a hash table took some 50 times
+    assert min(took(b.keys) for _ in range(5)) < 12 * min(took(lambda: np.sort(both)) for _ in range(5))

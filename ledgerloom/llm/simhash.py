@@ -304,9 +304,9 @@ def _same(a: DataFrame, b: DataFrame):  # noqa: ANN202
 
 def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """docs: (key, text). (node, n, f0, parity binary, wide binary, prefix array<long>) of each text with words: the number of
-    distinct shingles, the fingerprint, the parity of the number of shingles at each of 64 * BITMAP places (and, for sets
-    larger than that, at twice as many places as shingles), and so many of the least hashes that two sets of the
-    similarity have one in common."""
+    distinct shingles, the fingerprint, the parity of the number of shingles at each of 64 * BITMAP places (for sets larger
+    than that followed by the numbers themselves, and again at twice as many places as shingles), and so many of the least
+    hashes that two sets of the similarity have one in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +320,7 @@ def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     sizes.append(n)
                     prints.append(_majority(h))
                     prefixes.append(s[: n - int(np.ceil(similarity * n - 1e-6)) + 1].view(np.int64))
-                    maps.append(parity(s, 64 * BITMAP))
+                    maps.append(parity(s, 64 * BITMAP) + (counts(s, 64 * BITMAP) if n > 64 * BITMAP else b""))
                     wide.append(parity(s, 1 << (2 * n - 1).bit_length()) if n > 64 * BITMAP else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["node", "n", "f0", "parity", "wide", "prefix"])
 
@@ -333,6 +333,21 @@ def parity(s: np.ndarray, places: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def counts(s: np.ndarray, places: int) -> bytes:
+    """How many hashes fall on each of so many places, modulo 16; two places a byte."""
+    n = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 15
+    return (n[::2] | n[1::2] << 4).tobytes()
+
+
+def _counts_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows of counts modulo 16, the least number of hashes in which the sets can differ."""
+    total = np.zeros(len(x), np.int64)
+    for shift in (0, 4):
+        d = ((x >> shift) - (y >> shift)) & 15
+        total += np.minimum(d, 16 - d).sum(1, dtype=np.int64)
+    return total
+
+
 def possible(n: int, a: bytes | None, m: int, b: bytes | None, similarity: float) -> bool:
     """Whether sets of n and m hashes with these parities may have the similarity: parities differ in no more places than
     the sets differ in hashes. Of unequal bitmaps the larger is folded."""
@@ -395,17 +410,29 @@ def _proposals(table: pa.Table, low: int, high: int, similarity: float) -> pa.Re
     """Of complete groups, for each row the rows after it that may be near copies: those in places low to high by distance,
     without those of its own component. (src, dst, more): more names, as src, a key that has candidates beyond."""
     node, size, comp, key = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "comp", "key"))
-    f = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, BITMAP)
+    maps = table.column("parity").to_pylist()
+    f = np.frombuffer(b"".join(m[: 8 * BITMAP] for m in maps), np.uint64).reshape(-1, BITMAP)
+    # bitmaps of large sets are full, so these have counts, too
+    large = np.array([len(m) > 8 * BITMAP for m in maps], bool)
+    numbers = np.frombuffer(b"".join(m[8 * BITMAP :] for m in maps), np.uint8).reshape(-1, 32 * BITMAP)
+    at_number = np.cumsum(large) - 1
+    del maps
     group = np.stack([key, *(table.column(c).to_numpy().astype(np.int64) for c in ("i", "j"))], axis=1)
     new = np.concatenate(([True], (group[1:] != group[:-1]).any(1)))
     starts = np.flatnonzero(new)
     sizes = np.diff(np.concatenate((starts, [len(node)])))
     run = np.cumsum(new) - 1
 
-    def candidates(a: np.ndarray, b: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
-        # no more shingles than these can differ; bitmaps and sizes differ in no more than the shingles do
+    def candidates(a: np.ndarray | int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # no more shingles than these can differ; bitmaps, sizes and counts differ in no more than the shingles do
         d = np.maximum(np.bitwise_count(f[a] ^ f[b]).sum(-1, dtype=np.int64), np.abs(size[a] - size[b]))
-        return d, d * (1 + similarity) <= (size[a] + size[b]) * (1 - similarity) + 1e-6
+        most = (size[a] + size[b]) * (1 - similarity) + 1e-6
+        both = np.flatnonzero((d * (1 + similarity) <= most) & large[a] & large[b])
+        for x in range(0, len(both), AT_A_TIME):
+            which = both[x : x + AT_A_TIME]
+            left, right = np.broadcast_to(at_number[a], b.shape)[which], at_number[b[which]]
+            d[which] = np.maximum(d[which], _counts_apart(numbers[left], numbers[right]))
+        return d, d * (1 + similarity) <= most
 
     pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
     more: list[np.ndarray] = [np.zeros(0, np.int64)]
@@ -426,7 +453,7 @@ def _proposals(table: pa.Table, low: int, high: int, similarity: float) -> pa.Re
         if (comp[s : s + n] == comp[s]).all():
             continue
         for a in range(s, s + n - 1):
-            d, ok = candidates(a, slice(a + 1, s + n))
+            d, ok = candidates(a, np.arange(a + 1, s + n))
             at = np.flatnonzero(ok)
             if len(at) <= low:
                 continue
@@ -457,7 +484,7 @@ def near_groups(docs: DataFrame, shingle: int = DEDUP_SHINGLE, similarity: float
     shingles connect most copies. Golay keys vouch for a few differing bits only, and the similarity allows for more; so
     the pairs that they miss are found by the shingles themselves. Sets of the similarity share one of their least
     hashes, so they meet under it; keys of very many are dealt into blocks, and each pair of blocks meets. Candidates,
-    those that parity bitmaps and sizes cannot rule out and that are not connected yet, are taken in rounds: each row's
+    those that parity bitmaps, counts and sizes cannot rule out and that are not connected yet, are taken in rounds: each row's
     nearest, then STEP times as many of the next, and so on. So no candidate is left out.
     """
     sketches = stash(_sketches(docs, shingle, similarity), "sketches")
@@ -466,6 +493,10 @@ def near_groups(docs: DataFrame, shingle: int = DEDUP_SHINGLE, similarity: float
     blocks = F.when(F.col("count") > 2 * block_rows, F.ceil(F.col("count") / block_rows)).otherwise(1).cast("int")
     shared = stash(posted.groupBy("key").count().where("count > 1").select("key", blocks.alias("blocks")), "shared")
     met = stash(posted.join(small(shared), "key"), "met")
+    # keys all of whose rows are connected already have nothing to give
+    now = met.select("key", "node").join(small(comps), "node", "left").select("key", F.coalesce("component", "node").alias("c"))
+    open_ = stash(now.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key"), "open")
+    met = stash(met.join(small(open_), "key", "left_semi"), "met")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     low, high = 0, 1
 

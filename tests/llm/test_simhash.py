@@ -137,3 +137,40 @@ def test_parities_rule_out_no_pair_of_the_similarity():
             assert may or not real
             out += not may
     assert out >= 6
+
+
+def test_long_texts_with_a_passage_in_common_are_no_candidates():
+    """Their bitmaps of parities are full, so these rule out no pair."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    sets, sketch = [], lambda s: S.parity(s, 64 * S.BITMAP) + S.counts(s, 64 * S.BITMAP)
+    common = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    for i in range(40):
+        sets.append(np.unique(np.concatenate((common, rng.integers(0, 1 << 63, 2500 + 250 * (i % 20)).astype(np.uint64)))))
+    for i in (0, 7, 19):  # near copies, one on either side of the similarity and one by far
+        for share in (0.895, 0.875, 0.99):
+            keep = rng.permutation(sets[i])[: int(len(sets[i]) * share)]
+            sets.append(np.unique(np.concatenate((keep, rng.integers(0, 1 << 63, len(sets[i]) - len(keep)).astype(np.uint64)))))
+    real = {(a, b) for b in range(len(sets)) for a in range(b) if S.similar(sets[a], sets[b], 0.8)}
+    for size in (3, len(sets)):  # small groups are looked at together
+        seen = set()
+        for at in range(0, len(sets), size) if size > 3 else [0]:
+            which = list(range(len(sets))) if size > 3 else sorted({0, *range(40, 43)})
+            n = len(which)
+            columns = {"key": [7] * n, "i": [0] * n, "j": [0] * n, "node": which, "n": [len(sets[x]) for x in which], "parity": [sketch(sets[x]) for x in which], "comp": which}
+            seen |= {(r["src"], r["dst"]) for r in S._proposals(pa.table(columns), 0, 100, 0.8).to_pylist() if not r["more"]}
+        want = {p for p in real if set(p) <= set(which)}
+        assert want and want <= seen and len(seen) <= len(want) + 15
+
+
+def test_keys_of_connected_texts_are_left_out(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join([*words[:198], f"x{i}"])) for i in range(60)]
+    made, stash = {}, S.stash
+    monkeypatch.setattr(S, "stash", lambda df, name="step": made.setdefault(name, []).append(stash(df, name)) or made[name][-1])
+    groups = S.near_groups(spark.createDataFrame(rows, "node long, text string"))
+    assert {r.component for r in groups.collect()} == {0} and groups.count() == 60
+    assert made["met"][0].count() > 0 and made["met"][-1].count() == 0
+    assert made["candidates"][0].count() == 0

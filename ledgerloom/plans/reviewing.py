@@ -463,7 +463,8 @@ def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag == "A", "ACCEPT_AI").when(flag == "R", F.when(n <= 2, "MANUAL_VALUE").otherwise("AUDIT_FAIL")).when(n.isin(4, 6), "FALSE_NEGATIVE").otherwise("DOCUMENT_ISSUE").alias("decision"), F.when(F.col("l_discount") > 0.02, "seen").otherwise("").alias("reason"),
         F.when(F.col("l_tax") > 0.01, F.col("l_partkey").cast("string")).alias("value"), F.when(F.col("l_tax") < 0.07, F.concat(F.lit("f"), F.col("l_orderkey").cast("string"))).alias("file_name"), "l_quantity",
     )
-    nulls_last = F.struct(F.col("l_quantity"), "decision", "reason", F.col("value").isNull().alias("a"), "value", F.col("file_name").isNull().alias("b"), "file_name")
+    # event_type settles what the SQL's order leaves open, so a run does not depend on how rows are stored
+    nulls_last = F.struct(F.col("l_quantity").isNull().alias("c"), "l_quantity", "decision", "reason", F.col("value").isNull().alias("a"), "value", F.col("file_name").isNull().alias("b"), "file_name", "event_type")
     one = li.groupBy("id").agg(F.min_by(F.struct("chain_id", "action_kind", "event_type", "decision", "reason", "value", "file_name"), nulls_last).alias("o")).select(F.col("id").cast("string").alias("event_id"), "o.*")
     of = F.when(F.col("action_kind").isin("DECIDE_ADVISORY"), F.concat(F.lit("advisory:c"), "event_id")).otherwise("rule")
     events = one.select("event_id", "chain_id", "event_type", "action_kind", of.alias("source_ref"), "file_name", F.lit("quantity").alias("field_name"), F.lit("a").alias("observed"), F.lit("b").alias("suggested"), F.when(F.col("action_kind") != "REVIEW_FIELD", F.array(F.lit("tests"))).alias("invalidates"))

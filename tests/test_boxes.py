@@ -45,3 +45,15 @@ def test_values_in_runs_of_boxes(spark):
     assert got[1, "sum"] == (1, 2, 2, 2, True, 5.0, 25.0, 15.0, 35.0)  # of two boxes that are the value the smaller one
     assert got[1, "buyer"] == (0, 3, 6, 6, False, 22.5, 40.0, 67.5, 50.0)  # its share of the box
     assert got[2, "odd"][:5] == (0, 1, 1, 1, False) and got[3, "many"][:4] == (0, 1, 1, 1) and set(got) == {(1, "no"), (1, "sum"), (1, "buyer"), (2, "odd"), (3, "many")}
+
+
+def test_overlaps_are_told_in_code_that_is_compiled(spark):
+    own = spark.range(20).selectExpr("id % 2 AS doc_id", "0 AS page", "id AS box", "1.0D AS x0", "1.0D AS y0", "id + 30.0D AS x1", "id + 30.0D AS y1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = boxes.overlaps(own, own, 0.3)._jdf.queryExecution().executedPlan()
+        parts = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and 0 < max(sizes) < 8000  # Java runs larger methods uncompiled

@@ -34,3 +34,27 @@ def test_stream_with_late_and_repeated_events_equals_batch(spark, tmp_path):
     changed = [(c, s) for (c, s, signed), (q, f) in last.items() if not signed and (c, s, True) in last and q > last[c, s, True][0] and f != last[c, s, True][1]]
     cascade = reviews.invalidated(spark.createDataFrame([x for x in changed if x[1] != "other"], "chain_id long, stage string"))
     assert {(r.chain_id, r.stage) for r in cascade.collect()} == {(c, s) for c, v in want.items() for s in v if s != "other"}
+
+
+def test_a_chain_costs_two_calls_of_its_state():
+    from pyspark.sql import Row
+
+    class Kept:
+        calls, value = 0, None
+
+        def get(self):
+            Kept.calls += 1
+            return Kept.value
+
+        def update(self, value):
+            Kept.calls, Kept.value = Kept.calls + 1, value
+
+    made = staleness._Signatures()
+    made.kept = Kept()
+    event = lambda stage, seq, signed, mark: Row(chain_id=1, stage=stage, seq=seq, signed=signed, signature=mark)
+    stages = ("fields", "tests", "é\"")
+    told = list(made.handleInputRows((1,), iter([event(s, 0, True, "a") for s in stages] + [event(s, 2, False, "b") for s in stages]), None))
+    assert [(r.chain_id, r.stages, r.n) for r in told] == [(1, ["conclusion", "evidence", "fields", "tests", "workbook", "é\""], 1)] and Kept.calls == 2
+    assert list(made.handleInputRows((1,), iter([event("fields", 1, False, "z")]), None)) == [] and Kept.calls == 3  # late: nothing to keep
+    told = list(made.handleInputRows((1,), iter([event(s, 3, False, "a") for s in stages]), None))
+    assert [(r.stages, r.n) for r in told] == [([], 2)] and Kept.calls == 5

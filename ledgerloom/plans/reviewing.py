@@ -12,7 +12,7 @@ from ledgerloom.operators import catalogue as K
 from ledgerloom.plans import canonical as C
 from ledgerloom.plans.queries import DATES_SQL, matched, period_end
 from ledgerloom.plans.registry import query
-from ledgerloom.plans.stash import shared_dir
+from ledgerloom.plans.stash import shared_dir, stash
 from ledgerloom.sources import files
 from ledgerloom.streaming import feeds
 
@@ -201,6 +201,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cutoff.check_cutoff(C.ledger_dates(spark, sf_dir), period_end=period_end())
     text = lambda c: F.col(c).cast("string")
     late = cut.where("cutoff_status = 'FAIL'").select(text("business_id").alias("chain_id"), F.lit("CUTOFF").alias("event_type"), F.when(F.col("cutoff_reason") == "PERIOD_END_CROSSED", "BLOCKING").otherwise("REVIEW").alias("severity"), F.col("cutoff_reason").alias("reason"), F.lit("cutoff").alias("source_ref"))
+    late = stash(late, "late")  # told twice below
     hard = matched(spark, sf_dir).where("status = 'FAIL'").select(text("business_id").alias("chain_id"), F.lit("THREE_WAY").alias("event_type"), F.lit("BLOCKING").alias("severity"), F.concat_ws("/", "amount_verdict", "quantity_verdict").alias("reason"), F.lit("match").alias("source_ref"))
     orders = C.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("business_id"))
     required = spark.range(2).select(F.when(F.col("id") == 0, "receipt").otherwise("invoice").alias("role"))
@@ -239,7 +240,7 @@ def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with_match("SELECT * FROM ev WHERE NOT (CAST(chain_id AS BIGINT) % 3 = 0 AND event_type = 'MISSING_DOCUMENT')"))
 def open_review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events left after decisions: those on missing documents of every third chain fit, those on matches are out of date."""
-    made = _events(spark, sf_dir)
+    made = stash(_events(spark, sf_dir), "events")  # the log is made from the events, too
     third = F.col("chain_id").cast("long") % 3 == 0
     log = made.where(third).select("event_id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("OPEN").alias("state")), F.struct(F.lit(2).alias("seq"), F.lit("RESOLVED").alias("state")))).alias("d"), F.when(F.col("event_type") == "MISSING_DOCUMENT", F.col("reason")).otherwise("older").alias("reason"))
     return reviews.open_events(made, log.select("event_id", "d.seq", "d.state", "reason"))

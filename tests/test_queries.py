@@ -103,3 +103,8 @@ def test_review_decisions_do_not_depend_on_the_order_of_tied_lines(spark, tmp_pa
     assert got and got == rows(b.columns, b.collect())
     want = con.execute(catalog.ORACLE_SQL["review_decisions"]).fetchall()
     assert [x for x in got if "'20" in x] == [x for x in rows(["kind", "id", "what"], want) if "'20" in x]
+
+
+def test_open_review_events_make_their_events_once(spark):
+    files = catalog.QUERIES["open_review_events"](spark, SF).inputFiles()
+    assert files and not any("lineitem" in f or "orders" in f for f in files)

@@ -349,3 +349,15 @@ def test_inheritance_does_not_stop_silently(spark):
     with pytest.raises(RuntimeError):
         entities.inherit(anchors, refs, most_rounds=2)
     assert entities.inherit(anchors, refs, most_rounds=5).count() == 6
+
+
+def test_components_leave_one_step_of_their_edges(spark):
+    import glob
+
+    from ledgerloom.operators.components import connected_components
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/ledgerloom/"
+    before = set(glob.glob(folder + "*"))
+    got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")).collect()
+    assert {r.node for r in got} == set(range(41)) and {r.component for r in got} == {0}
+    assert len(set(glob.glob(folder + "*")) - before) == 1

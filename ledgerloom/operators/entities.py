@@ -45,15 +45,15 @@ def safe_in_text(value: Column, kind: Column) -> Column:
 def similar(detected: DataFrame, index: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, detected, alias): aliases with the same letters in front that differ by one edit at most, for review.
 
-    Two words one edit apart share the word itself or one of its forms with a character less, so they meet by equality;
-    the meeting is then verified."""
+    Two words one edit apart share the word itself or one of its forms with a character less, so they meet by a hash of
+    that; the meeting is then verified. Words meet, each once, and are laid over the documents afterwards."""
     forms = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, 1, i - 1), F.substring(c, i + 1, F.length(c))))))
     letters = lambda c: F.regexp_extract(c, "^[A-Z]+", 0)
-    own = detected.select(doc, F.explode("found").alias("detected")).where(letters(F.col("detected")) != "").distinct()
-    own = own.withColumn("form", F.explode(forms(F.col("detected"))))
-    known = index.select("alias").where(letters(F.col("alias")) != "").withColumn("form", F.explode(forms(F.col("alias"))))
-    met = own.join(known, "form").where((letters(F.col("detected")) == letters(F.col("alias"))) & (F.levenshtein("detected", "alias", 1) >= 0))
-    return met.select(doc, "detected", "alias").distinct()
+    keyed = lambda df, c: df.select(c, F.explode(F.transform(forms(F.col(c)), lambda x: F.xxhash64(letters(F.col(c)), x))).alias("form"))
+    own = detected.select(doc, F.explode("found").alias("detected")).where(letters(F.col("detected")) != "")
+    known = index.select("alias").where(letters(F.col("alias")) != "").distinct()
+    met = keyed(own.select("detected").distinct(), "detected").join(keyed(known, "alias"), "form").where((letters(F.col("detected")) == letters(F.col("alias"))) & (F.levenshtein("detected", "alias", 1) >= 0))
+    return own.join(met.select("detected", "alias").distinct(), "detected").select(doc, "detected", "alias").distinct()
 
 
 def resolve(docs: DataFrame, index: DataFrame, doc: str = "doc_id", exact: str = "exact", found: str = "found") -> DataFrame:

@@ -108,3 +108,14 @@ def test_review_decisions_do_not_depend_on_the_order_of_tied_lines(spark, tmp_pa
 def test_open_review_events_make_their_events_once(spark):
     files = catalog.QUERIES["open_review_events"](spark, SF).inputFiles()
     assert files and not any("lineitem" in f or "orders" in f for f in files)
+
+
+def test_similar_spellings_are_looked_for_without_documents(spark):
+    from ledgerloom.operators import entities
+
+    docs = spark.createDataFrame([(i, ["SO123", "X", "12"]) for i in range(3)] + [(9, ["SO12", "S0123"])], "doc_id long, found array<string>")
+    index = spark.createDataFrame([("SO123",), ("SO124",), ("SO9",), ("12",)], "alias string")
+    got = entities.similar(docs, index)
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(i, "SO123", a) for i in range(3) for a in ("SO123", "SO124")] + [(9, "SO12", a) for a in ("SO123", "SO124")])
+    wide = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(" in x and "form#" in x]
+    assert wide and not any("doc_id" in x for x in wide)

@@ -204,3 +204,15 @@ def test_receipt_dates(spark):
     for i, (_, _, want) in enumerate(cases):
         d = got[i]
         assert tuple(None if x is None else str(x) for x in (d.receipt_date, d.acceptance_date, d.delivery_date, d.source)) == want, i
+
+
+def test_postings_are_stored_once_and_in_order(spark, tmp_path):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/ledgerloom/*"
+    before = set(glob.glob(folder))
+    trigrams.build(spark.createDataFrame([(i, f"some text {i} abc") for i in range(40)], "doc_id long, text string").repartition(3), f"{tmp_path}/i")
+    assert set(glob.glob(folder)) == before
+    for f in glob.glob(f"{tmp_path}/i/postings/*.parquet"):
+        rows = [(r.gram, r.doc) for r in spark.read.parquet(f).collect()]
+        assert rows == sorted(rows)
